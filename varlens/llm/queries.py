@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 from varlens.llm.common import table
 
 
+def op5_packing(spark, sf_dir):
+    from varlens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark, sf_dir):
+    from varlens.llm.token_store import store_tokens
+
+    return store_tokens(table(spark, sf_dir, "documents")).drop("file")
+
+
 def op9_source_mixing(spark, sf_dir):
     from varlens.llm.mixing import mix
 
@@ -21,7 +33,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op5_packing, op6_token_files, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():
