@@ -30,6 +30,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, str(Path(_PACKAGE.name) / p.relative_to(_PACKAGE)))
     sc.addPyFile(target)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
     sc._varlens_shipped = sc.applicationId
 
 
