@@ -72,7 +72,8 @@ def best_column(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 def column_generation(demand: np.ndarray, gap: float = 2e-4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """min sum x with patterns' columns covering ``demand`` (pieces of size 1..capacity): (patterns, x).
 
-    Ends when the lower bound value / best price shows it to be within ``gap`` times, or half a sequence of, the optimum.
+    Ends when a lower bound (the value over the best price, or all sizes over the capacity) shows it to be within
+    ``gap`` times the optimum, or half a sequence of it.
     """
     capacity = len(demand)
     sizes = np.flatnonzero(demand) + 1
@@ -85,12 +86,14 @@ def column_generation(demand: np.ndarray, gap: float = 2e-4, most: int = 20_000)
     # A little more of each class, by a different amount, keeps ties from stalling the pivots.
     d = d * (1 + 1e-9 * np.arange(1, m + 1))
     x = inverse @ d
+    bound = float(demand[sizes - 1] @ sizes) / capacity
     for step in range(most):
         duals = inverse.sum(axis=0)
         prices = np.zeros(capacity)
         prices[sizes - 1] = np.maximum(duals, 0)
         value, column = best_column(prices, capacity)
-        if x.sum() * (1 - 1 / max(value, 1)) <= max(0.5, gap * x.sum()):
+        bound = max(bound, x.sum() / max(value, 1))
+        if x.sum() - bound <= max(0.5, gap * x.sum()):
             break
         u = inverse @ column[sizes - 1]
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
