@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from varlens.llm.common import table
 
 
+def op2_near_duplicates(spark, sf_dir):
+    from varlens.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_packing(spark, sf_dir):
     from varlens.llm.packing import pack
 
@@ -33,11 +39,11 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op5_packing, op6_token_files, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_near_duplicates, op5_packing, op6_token_files, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():
-    return {"op9_source_mixing": OP9, "op10_line_dedup": OP10}
+    return {"op2_near_duplicates": OP2, "op9_source_mixing": OP9, "op10_line_dedup": OP10}
 
 
 #: A schedule with exactly one slot per block takes the first floor(target) words of each source's repeated stream.
@@ -73,3 +79,17 @@ SELECT l.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.go
        CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(k.t, '') END AS text
 FROM l LEFT JOIN k USING (doc_id)
 """
+
+#: All pairs with a common shingle; the smallest doc_id spreads along links until nothing changes.
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.doc_id WHERE r.c < b.y)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
