@@ -13,6 +13,12 @@ def op2_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_ogg_media(spark, sf_dir):
+    from varlens.llm.media_ogg import decode_media, encode_media
+
+    return decode_media(encode_media(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark, sf_dir):
     from varlens.llm.packing import pack
 
@@ -25,6 +31,12 @@ def op6_token_files(spark, sf_dir):
     return store_tokens(table(spark, sf_dir, "documents")).drop("file")
 
 
+def op7_warc(spark, sf_dir):
+    from varlens.llm.warc import archive, read_archives
+
+    return read_archives(archive(table(spark, sf_dir, "pages")))
+
+
 def op9_source_mixing(spark, sf_dir):
     from varlens.llm.mixing import mix
 
@@ -39,7 +51,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_near_duplicates, op5_packing, op6_token_files, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():

@@ -61,7 +61,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             for doc_ids, ids, starts, lengths in encode_documents(batches, tokenizer, end_id):
                 if writer is None:
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    sink = fs.open_output_stream(path)
+                    sink = fs.open_output_stream(path, compression=None)
                     writer = pa.ipc.new_stream(sink, schema)
                 rest = np.concatenate([rest, ids.astype(kind)])
                 unit = row * ROWS_A_BATCH
