@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from varlens.llm.common import table
 
 
+def op1_quality(spark, sf_dir):
+    from varlens.llm.quality import fold, score_texts, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score_texts(docs, train(docs, labels, fold("doc_id", 5) != 0))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_near_duplicates(spark, sf_dir):
     from varlens.llm.neardup import near_duplicates
 
@@ -51,7 +59,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():
