@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varlens.llm.common import partitions
-from varlens.llm.tokens import default_path, encode_documents
+from varlens.llm.tokens import default_path, encode_documents, encoder_of
 from varlens.session import Scratch, ship
 
 ROWS_A_BATCH = 256
@@ -41,9 +41,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     def write(batches):
         import pyarrow.fs
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        kind = np.uint16 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else np.uint32
+        kind = np.uint16 if encoder_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         schema = schema_of(row, kind)
         task = TaskContext.get()
         target = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"

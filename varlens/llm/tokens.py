@@ -2,12 +2,14 @@
 
 The tokenizer first cuts a text before any space that follows a non-space, and never joins across
 such a cut, so a text's ids are those of its space-separated parts in turn. Parts repeat a lot: each
-worker keeps the ids of up to ``cache`` parts and sends only unknown ones to the library.
+worker keeps the ids of up to ``cache`` parts and gives only unknown ones to the library's pre-tokenizer and
+model.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -30,25 +32,52 @@ def parts_of(text: str) -> list[str]:
     return text.split(" ") if text[:1] != " " else _CUT.split(text)
 
 
+class _Known(dict):
+    """Places of known parts; -1 for others."""
+
+    def __missing__(self, key) -> int:
+        return -1
+
+
 class Encoder:
     """One worker's tokenizer and part cache. ``special`` strings in a text are ordinary text."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # How the byte-level pre-tokenizer shows each byte: the n-th byte without a picture is character 256 + n.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: 256 + n for n, b in enumerate(hidden)}
+        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in ",.!?:;"}
         self.cache = cache
-        self.known: dict = {}
+        self.known = _Known()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _ids(self, part) -> list[int]:
+        """Ids of one part: the model's of each of its pre-tokens. Letters alone are one pre-token; so is a single mark after them."""
+        model = self.model
+        if isinstance(part, str):
+            tail: list[int] = []
+            if (mark := part[-1:]) in self.marks:
+                part, tail = part[:-1], self.marks[mark]
+            if part.isalpha():
+                return [t.id for t in model.tokenize("\u0120" + (part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)))] + tail
+            part = f" {part}{mark if tail else ''}"
+        else:
+            part = part[0]
+        return [t.id for piece, _ in self.cut(part) for t in model.tokenize(piece)]
+
     def _learn(self, fresh: list) -> None:
         """Append the ids of parts that the arrays don't hold yet."""
-        out = self.tokenizer.encode_batch_fast([p[0] if isinstance(p, tuple) else " " + p for p in fresh], add_special_tokens=False)
-        lists = [e.ids for e in out]
+        lists = list(map(self._ids, fresh))
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         base = int(self.start[self.count - 1] + self.length[self.count - 1]) if self.count else 0
         total = int(lengths.sum())
@@ -57,7 +86,7 @@ class Encoder:
         while len(self.start) < self.count + len(fresh):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.ids[base : base + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+        self.ids[base : base + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         self.length[self.count : self.count + len(fresh)] = lengths
         self.start[self.count : self.count + len(fresh)] = base + np.cumsum(lengths) - lengths
         self.count += len(fresh)
@@ -74,7 +103,7 @@ class Encoder:
                 keys += parts
         self.count = self.used
         known = self.known
-        index = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
+        index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
         missed = np.flatnonzero(index < 0)
         if len(missed):
             local: dict = {}
@@ -93,7 +122,17 @@ class Encoder:
         return self.ids[at], np.where(counts > 0, of_text, 0)
 
 
-def text_runs(texts: list, most: int = 1 << 22):
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder, which outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def text_runs(texts: list, most: int = 1 << 20):
     """Ranges [a, b) of a batch with about ``most`` characters each, so that no step holds much."""
     a, size = 0, 0
     for b, text in enumerate(texts):
@@ -107,7 +146,7 @@ def text_runs(texts: list, most: int = 1 << 22):
 
 def encode_documents(batches, path: str, end_id: int):
     """Per run of texts of Arrow batches with columns doc_id and text: (doc_ids, uint32 ids with end ids, starts, lengths)."""
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         doc_ids = batch.column("doc_id")
