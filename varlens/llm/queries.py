@@ -45,6 +45,12 @@ def op7_warc(spark, sf_dir):
     return read_archives(archive(table(spark, sf_dir, "pages")))
 
 
+def op8_lm_scores(spark, sf_dir):
+    from varlens.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark, sf_dir):
     from varlens.llm.mixing import mix
 
@@ -59,7 +65,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op8_lm_scores, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():
