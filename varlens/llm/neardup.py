@@ -8,8 +8,9 @@ shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 No bucket is expanded into pairs. Each member is first paired with the smallest member of its bucket,
 and for each class the pair that shares most bands is confirmed on the full sets; the links give
 components. Only members whose component differs from that of their bucket's smallest member are then
-compared, by signature, with the members of other components, in blocks; pairs within 5.6 standard
-deviations of the threshold are confirmed on the full sets, and the components are completed.
+compared with the members of other components, in blocks: first by signature, which leaves the
+members that have a partner within 5.6 standard deviations of the threshold, then, likeliest first, on
+the full sets, until the two components are linked. What leaves a block is a spanning set of links.
 So every link between candidates is either confirmed or joins classes that are connected already.
 
 Scale: texts are read once for the sketch; only texts of candidate classes are read again and moved.
@@ -33,7 +34,7 @@ from varlens.llm.components import components
 from varlens.session import Scratch, ship
 
 BANDS, ROWS = 32, 5
-BLOCK = 4096
+BLOCK = 1024
 #: Node ids from here on stand for classes without any doc_id.
 NO_ID_FROM = 1 << 62
 _M = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
@@ -145,45 +146,91 @@ def _confirm(part: int, whole: int):
     return run
 
 
-def _cross(part: int, whole: int):
-    """Pairs of different components, in streams sorted by (h, chunk), that pass the signatures."""
-    enough = part / whole - 5.6 * np.sqrt(part / whole * (1 - part / whole) / (BANDS * ROWS))
+ROW = "h long, chunk int, node long, comp long, n_shingles long, outlier boolean, sig binary, bands array<long>"
+
+
+def _groups(batches):
+    """Tables of one (h, chunk) each, from batches sorted by it."""
+    open_key, parts = None, []
+    for batch in batches:
+        h, chunk = batch.column("h").to_numpy(), batch.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(h)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if (key := (h[a], chunk[a])) != open_key:
+                    if parts:
+                        yield parts
+                    open_key, parts = key, []
+                parts.append(batch.slice(a, b - a))
+    if parts:
+        yield parts
+
+
+class _Block:
+    """The members of one bucket that are compared with each other."""
+
+    def __init__(self, rows: pa.Table, part: int, whole: int):
+        self.rows, self.part, self.whole = rows, part, whole
+        self.comp = rows.column("comp").to_numpy().copy()
+        self.n = rows.column("n_shingles").to_numpy()
+        self.outliers = np.flatnonzero(rows.column("outlier").to_numpy(zero_copy_only=False))
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.band = int((self.bands[0] == rows.column("h")[0].as_py()).argmax())
+        share = part / whole
+        self.enough = share - 5.6 * np.sqrt(share * (1 - share) / (BANDS * ROWS))
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that may be linked with i, likeliest first; each pair in its first common band only."""
+        n = self.n
+        at = np.flatnonzero((self.comp != self.comp[i]) & (self.whole * np.minimum(n, n[i]) >= self.part * np.maximum(n, n[i])))
+        at = at[(self.bands[at] == self.bands[i]).argmax(axis=1) == self.band]
+        alike = (self.sig[at] == self.sig[i]).mean(axis=1)
+        order = np.argsort(-alike, kind="stable")
+        return at[order][alike[order] >= self.enough]
+
+
+def _involved(part: int, whole: int):
+    """The rows of blocks that have a partner, by signature."""
 
-    def pairs(rows):
-        node, comp, n, out, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-        found = []
-        for i in np.flatnonzero(out):
-            ok = (comp != comp[i]) & (whole * np.minimum(n, n[i]) >= part * np.maximum(n, n[i]))
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sig[at] == sig[i]).mean(axis=1) >= enough]
-                found.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    def run(batches):
+        for parts in _groups(batches):
+            rows = pa.Table.from_batches(parts)
+            if rows.num_rows < 2:
+                continue
+            block = _Block(rows, part, whole)
+            keep = np.zeros(rows.num_rows, bool)
+            for i in block.outliers:
+                found = block.partners(i)
+                keep[found] = True
+                keep[i] |= len(found) > 0
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
-    def emit(p):
-        return pa.record_batch({"u": pa.array(p[:, 1].copy()), "v": pa.array(p[:, 0].copy())})
+
+def _span(part: int, whole: int):
+    """Links on full sets that join the components of a block."""
 
     def run(batches):
-        open_key, rows = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, chunk, node, comp, n = (batch.column(c).to_numpy() for c in ("h", "chunk", "node", "comp", "n_shingles"))
-            out = batch.column("outlier").to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(h)]
-            done = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                key = (h[a], chunk[a])
-                if key != open_key:
-                    if rows:
-                        done.append(pairs(rows))
-                    open_key, rows = key, []
-                rows.append((node[a:b], comp[a:b], n[a:b], out[a:b], sig[a:b]))
-            if done:
-                yield emit(np.concatenate(done))
-        if rows:
-            yield emit(pairs(rows))
+        for parts in _groups(batches):
+            rows = pa.Table.from_batches(parts)
+            block = _Block(rows, part, whole)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+            node = rows.column("node").to_numpy()
+            u, v = [], []
+            for i in block.outliers:
+                for j in block.partners(i):
+                    if block.comp[i] != block.comp[j]:
+                        both = np.sort(np.concatenate([sets[i], sets[j]]))
+                        common = int((both[1:] == both[:-1]).sum())
+                        if whole * common >= part * (len(both) - common):
+                            u.append(node[i])
+                            v.append(node[j])
+                            block.comp[block.comp == block.comp[j]] = block.comp[i]
+            if u:
+                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -213,13 +260,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
         sized = pairs.join(size.toDF("u", "_nu"), "u").join(size.toDF("v", "_nv"), "v")
         return sized.filter(F.least("_nu", "_nv") * whole >= F.greatest("_nu", "_nv") * part).select("u", "v")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(close(pairs), f"{name}-pairs")
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = wanted.join(classes.select("node", "digest"), "node")
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        wanted = wanted.distinct().join(classes.select("node", "digest"), "node")
         ids = wanted.select(F.when(F.col("node") < NO_ID_FROM, F.col("node")).alias("_id")).distinct()
         read = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(_sets(width), "digest binary, shingles binary")
-        sets = scratch.save(wanted.join(read.dropDuplicates(["digest"]), "digest").select("node", "shingles"), f"{name}-sets")
+        return scratch.save(wanted.join(read.dropDuplicates(["digest"]), "digest").select("node", "shingles"), f"{name}-sets")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(close(pairs), f"{name}-pairs")
+        sets = sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), name)
         both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
         links = scratch.save(both.select("u", "v", "a", "b").mapInArrow(_confirm(part, whole), "u long, v long"), f"{name}-links")
         scratch.drop(f"{name}-sets")
@@ -234,10 +283,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     at = scratch.save(at.join(open_h, "h", "left_semi"), "open")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     spread = F.when(F.col("outlier"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
-    at = at.withColumn("chunk", F.explode(spread)).join(classes.select("node", "n_shingles", "sig"), "node")
-    at = at.repartition("h", "chunk").sortWithinPartitions("h", "chunk")
-    crossing = at.select("h", "chunk", "node", "comp", "n_shingles", "outlier", "sig").mapInArrow(_cross(part, whole), "u long, v long").distinct()
-    more = confirmed(crossing, "more")
+    at = at.withColumn("chunk", F.explode(spread)).join(classes.select("node", "n_shingles", "sig", "bands"), "node")
+    columns = [c.split()[0] for c in ROW.split(", ")]
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h", "chunk").sortWithinPartitions("h", "chunk")
+
+    involved = scratch.save(blocks(at.select(*columns)).mapInArrow(_involved(part, whole), ROW), "involved")
+    with_sets = involved.join(sets_of(involved.select("node"), "more"), "node").select(*columns, "shingles")
+    more = scratch.save(blocks(with_sets).mapInArrow(_span(part, whole), "u long, v long").distinct(), "more-links")
     star = components(star.unionByName(more), scratch, "all-cc")
 
     ids = classes.select("digest", "node").join(star.toDF("node", "_c"), "node", "left").select("digest", F.coalesce("_c", "node").alias("_c"))

@@ -21,6 +21,14 @@ def op2_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op3_search(spark, sf_dir):
+    from varlens.llm.search import search
+
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(docs, asked, k=10).withColumn("score", F.round("score", 6))
+
+
 def op4_ogg_media(spark, sf_dir):
     from varlens.llm.media_ogg import decode_media, encode_media
 
@@ -65,11 +73,11 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op8_lm_scores, op9_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_search, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op8_lm_scores, op9_source_mixing, op10_line_dedup)}
 
 
 def oracle_sql():
-    return {"op2_near_duplicates": OP2, "op9_source_mixing": OP9, "op10_line_dedup": OP10}
+    return {"op2_near_duplicates": OP2, "op3_search": OP3, "op9_source_mixing": OP9, "op10_line_dedup": OP10}
 
 
 #: A schedule with exactly one slot per block takes the first floor(target) words of each source's repeated stream.
@@ -119,3 +127,16 @@ r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
+
+#: BM25 of every query against every document.
+OP3 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t FROM documents),
+f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT d.doc_id, coalesce(sum(f.tf), 0) AS dl FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id),
+s AS (SELECT count(*) AS n, avg(dl) AS m FROM l),
+i AS (SELECT t, ln(1 + ((SELECT n FROM s) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f GROUP BY t),
+r AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * i.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * l.dl / (SELECT m FROM s)))) AS sc
+      FROM f q JOIN i ON i.t = q.t JOIN f d ON d.t = q.t JOIN l ON l.doc_id = d.doc_id WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+k AS (SELECT query_id, doc_id, sc, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, doc_id) AS rank FROM r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(sc, 6) AS score FROM k WHERE rank <= 10
+"""
