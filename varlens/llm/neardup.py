@@ -107,6 +107,7 @@ def _sketch(width: int):
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
+                    "text_key": batch.column("text_key"),
                     "n_shingles": pa.array(counts, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
                     "sig": pa.array([x.tobytes() for x in low], pa.binary()),
@@ -235,13 +236,22 @@ def _span(part: int, whole: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for ``docs`` (doc_id, text), linking at part / whole or more."""
+def one_of_each(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """``docs``, all columns, less the rows that near_duplicates does not keep."""
+    found = near_duplicates(docs, width, part, whole, text_key=True)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_nd_id"]) & (F.xxhash64(docs["text"]) == gone["_nd_key"])
+    return docs.join(gone, same, "left_anti")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (and text_key, a hash of the text) for ``docs`` (doc_id, text), linking at part / whole or more."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = scratch.save(keyed.mapInArrow(_sketch(width), "doc_id long, text_key long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
 
     stand_in = F.lit(NO_ID_FROM) + F.shiftright(F.abs(F.xxhash64("digest")), 2)
     nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low")).select("digest", F.coalesce("low", stand_in).alias("node"), F.col("low").isNull().alias("_no"))
@@ -296,6 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
 
     ids = classes.select("digest", "node").join(star.toDF("node", "_c"), "node", "left").select("digest", F.coalesce("_c", "node").alias("_c"))
     ids = ids.withColumn("_c", F.when(F.col("_c") < NO_ID_FROM, F.col("_c"))).withColumn("_in", F.lit(True))
-    out = rows.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("_in"), F.col("_c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    columns = ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
+    return out.select(*columns, *["text_key"] * text_key)
