@@ -69,7 +69,7 @@ def best_column(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), column
 
 
-def column_generation(demand: np.ndarray, gap: float = 2e-4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(demand: np.ndarray, gap: float = 3e-4, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """min sum x with patterns' columns covering ``demand`` (pieces of size 1..capacity): (patterns, x).
 
     Ends when a lower bound (the value over the best price, or all sizes over the capacity) shows it to be within
@@ -81,10 +81,18 @@ def column_generation(demand: np.ndarray, gap: float = 2e-4, most: int = 20_000)
     if not m:
         return np.zeros((0, capacity), np.int64), np.zeros(0)
     columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1.0 / np.diag(columns))
     d = demand[sizes - 1].astype(float)
     # A little more of each class, by a different amount, keeps ties from stalling the pivots.
     d = d * (1 + 1e-9 * np.arange(1, m + 1))
+    # A size above half the capacity begins together with its complement, as the pattern of the rarer of the two.
+    place = {int(s): i for i, s in enumerate(sizes)}
+    for s, i in place.items():
+        if 2 * s > capacity and (j := place.get(capacity - s)) is not None:
+            if d[j] >= d[i]:
+                columns[j, i] = 1
+            else:
+                columns[j, j] = columns[i, j] = 1
+    inverse = np.linalg.inv(columns)
     x = inverse @ d
     bound = float(demand[sizes - 1] @ sizes) / capacity
     for step in range(most):
@@ -95,15 +103,18 @@ def column_generation(demand: np.ndarray, gap: float = 2e-4, most: int = 20_000)
         bound = max(bound, x.sum() / max(value, 1))
         if x.sum() - bound <= max(0.5, gap * x.sum()):
             break
-        u = inverse @ column[sizes - 1]
+        column = column[sizes - 1]
+        held = np.flatnonzero(column)
+        u = inverse[:, held] @ column[held]
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         t = ratio[out]
         x -= t * u
         x[out] = t
-        columns[:, out] = column[sizes - 1]
+        columns[:, out] = column
         pivot = inverse[out] / u[out]
-        inverse -= np.outer(u, pivot)
+        rows = np.flatnonzero(np.abs(u) > 1e-12)
+        inverse[rows] -= u[rows, None] * pivot
         inverse[out] = pivot
         if step % 200 == 199:
             inverse = np.linalg.inv(columns)
