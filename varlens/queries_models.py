@@ -653,3 +653,32 @@ def windowed_fit(spark, sf_dir):
 
 def _time_layout():
     return Layout(("time",), (Term((0,), (Spec(1, "legendre"),)),))
+
+
+# --- sources and sinks -------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey::DOUBLE AS k, c_acctbal AS y FROM customer WHERE c_custkey % 7 <> 3")
+def csv_missing_drop(spark, sf_dir):
+    """Customers written as CSV with missing tokens in every seventh row, read back without those rows."""
+    from varlens.session import Scratch
+    from varlens.sources.numeric_csv import read_numeric_csv
+
+    path = Scratch(spark, "csv").path + "/file"
+    tokens = F.element_at(F.array(*[F.lit(t) for t in ("NA", "nan", "null", "")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.when(F.col("c_custkey") % 7 == 3, tokens).otherwise(F.col("c_acctbal").cast("string")).alias("y"))
+    d.coalesce(1).write.option("header", True).csv(path)
+    return read_numeric_csv(spark, path)[0]
+
+
+@query()
+def saved_model(spark, sf_dir):
+    """A fit saved, loaded and used."""
+    from varlens.session import Scratch
+    from varlens.sources import model_store
+
+    d = planted(spark, sf_dir)
+    f = fit(d.select("x1", "x2", "x3", "y"), "y", k1=3, k2=1, stages=("A", "B"))
+    path = Scratch(spark, "model").path + "/m"
+    model_store.save(spark, model_store.of_result(f), path, f.penalty)
+    return tidy(model_store.load(spark, path).predict(d).select("k", "prediction", "lo", "hi"), 4)
