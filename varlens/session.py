@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -69,3 +71,22 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+
+_HELD: list = [None, None]
+
+
+def held(kind, make=lambda: None):
+    """What this Python worker keeps between tasks: one cache, made anew when another operator asks for its own.
+
+    Workers outlive tasks and are shared by all operators of an application; caches that pile up would be lost memory.
+    """
+    if _HELD[0] != kind:
+        _HELD[:] = [None, None]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+        _HELD[:] = [kind, make()]
+    return _HELD[1]
