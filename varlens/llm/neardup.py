@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varlens.llm.components import components
-from varlens.session import Scratch, ship
+from varlens.session import Scratch, held, ship
 
 BANDS, ROWS = 32, 5
 BLOCK = 1024
@@ -50,7 +50,7 @@ def _stir(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for up to ``most`` of them."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         from xxhash import xxh3_64_intdigest
 
@@ -90,7 +90,7 @@ def _sketch(width: int):
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        words = WordHashes()
+        words = held("words", WordHashes)
         for batch in batches:
             counts, digests, sigs = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -122,7 +122,7 @@ def _sets(width: int):
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        words = WordHashes()
+        words = held("words", WordHashes)
         for batch in batches:
             sets = [shingle_set(t, width, words).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch({"digest": pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), "shingles": pa.array(sets, pa.binary())})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varlens.session import ship
+from varlens.session import held, ship
 
 #: Character classes of bytes: control and space, digit, lower, upper, sentence marks, brackets and quotes, other ASCII, non-ASCII.
 _CLASS = np.full(256, 6, np.uint16)
@@ -156,6 +156,7 @@ def score_texts(docs: DataFrame, trained, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of whole texts."""
 
     def run(batches):
+        held("quality")
         for batch in batches:
             score = probability(trained, batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
@@ -173,6 +174,7 @@ def accepted(docs: DataFrame, trained, threshold: float = 0.3) -> DataFrame:
     """``docs`` that the model accepts, all columns kept."""
 
     def run(batches):
+        held("quality")
         for batch in batches:
             score = probability(trained, batch.column("text").cast(pa.binary()).to_pylist())
             yield batch.filter(pa.array(score >= threshold))

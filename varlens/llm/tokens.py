@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from varlens.session import held
+
 _CUT = re.compile(r"(?<=\S) ")
 #: White space other than the space itself (fixed values of the Unicode standard).
 _BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
@@ -42,7 +44,7 @@ class _Known(dict):
 class Encoder:
     """One worker's tokenizer and part cache. ``special`` strings in a text are ordinary text."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,14 +124,9 @@ class Encoder:
         return self.ids[at], np.where(counts > 0, of_text, 0)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """This worker's encoder, which outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def text_runs(texts: list, most: int = 1 << 20):
