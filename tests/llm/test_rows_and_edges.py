@@ -345,7 +345,7 @@ def test_language_model(odd, empty, spark):
     # Codes are prefix-free and complete, and a text's bits do not depend on its neighbours.
     import numpy as np
 
-    start, length, branches = code = huffman(np.tile(np.arange(257), (256, 1)))
+    start, length, branches = code = huffman(np.tile(np.arange(257), (2048, 1)))
     words = {tuple(branches[a : a + k].tolist()) for a, k in zip(start[:257], length[:257], strict=True)}
     assert len(words) == 257 and sum(0.5 ** len(w) for w in words) == pytest.approx(1)
     together, alone = bits_of([b"abc def", b"xyz"], code), bits_of([b"xyz"], code)

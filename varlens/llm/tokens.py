@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 
@@ -18,7 +19,8 @@ from varlens.session import held
 _CUT = re.compile(r"(?<=\S) ")
 #: White space other than the space itself (fixed values of the Unicode standard).
 _BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
-_BLANK_SPACE = [c + " " for c in " " + _BLANK]
+_ODD = _BLANK.replace("\n", "")
+_BREAK = ("\n",)
 
 
 def default_path() -> str:
@@ -27,11 +29,26 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def parts_of(text: str) -> list[str]:
-    """The text cut before each space that follows a non-space, those spaces left out."""
-    if any(x in text for x in _BLANK_SPACE):
-        return _CUT.split(text)
-    return text.split(" ") if text[:1] != " " else _CUT.split(text)
+def parts_of(text: str, plain: bool = False) -> list:
+    """The text cut where tokens never cross: before each space that follows a non-space (that space left out), and, if
+    every line break stands between non-spaces, around line breaks. A part that no space precedes is a 1-tuple.
+    ``plain``: the text is known to have no white space but spaces and line breaks."""
+    odd = not plain and any(c in text for c in _ODD)
+    if odd or "  " in text or "\n " in text or text[:1] == " ":
+        parts: list = _CUT.split(text)
+        parts[0] = (parts[0],)
+        return parts
+    if "\n\n" in text or " \n" in text or text[:1] == "\n" or text[-1:] == "\n":
+        parts = text.split(" ")
+        parts[0] = (parts[0],)
+        return parts
+    parts = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        parts.append(_BREAK)
+        parts.append((words[0],))
+        parts += words[1:]
+    return parts[1:]
 
 
 class _Known(dict):
@@ -55,7 +72,7 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: 256 + n for n, b in enumerate(hidden)}
-        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in ",.!?:;"}
+        self.marks: dict[str, list[int]] = {}
         self.cache = cache
         self.known = _Known()
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -64,18 +81,28 @@ class Encoder:
         self.used = 0
 
     def _ids(self, part) -> list[int]:
-        """Ids of one part: the model's of each of its pre-tokens. Letters alone are one pre-token; so is a single mark after them."""
-        model = self.model
-        if isinstance(part, str):
-            tail: list[int] = []
-            if (mark := part[-1:]) in self.marks:
-                part, tail = part[:-1], self.marks[mark]
-            if part.isalpha():
-                return [t.id for t in model.tokenize("\u0120" + (part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)))] + tail
-            part = f" {part}{mark if tail else ''}"
+        """Ids of one part: the model's of each of its pre-tokens. Letters alone are one; so are the ASCII marks after them."""
+        space, text = ("\u0120", part) if isinstance(part, str) else ("", part[0])
+        core = text.rstrip(punctuation)
+        if core and not core.isalpha():
+            return [t.id for piece, _ in self.cut((" " if space else "") + text) for t in self.model.tokenize(piece)]
+        marks = text[len(core) :]
+        if not core:
+            return [t.id for t in self.model.tokenize(space + marks)]
+        if marks:
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+            tail = self.marks[marks]
+            place = self.known[core if space else (core,)]
+            if place >= 0:
+                a = int(self.start[place])
+                return self.ids[a : a + int(self.length[place])].tolist() + tail
         else:
-            part = part[0]
-        return [t.id for piece, _ in self.cut(part) for t in model.tokenize(piece)]
+            tail = []
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+        return [t.id for t in self.model.tokenize(space + shown)] + tail
 
     def _learn(self, fresh: list) -> None:
         """Append the ids of parts that the arrays don't hold yet."""
@@ -96,11 +123,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
         keys: list = []
+        whole = "".join(texts)
+        plain = not any(c in whole for c in _ODD)
         counts = np.zeros(len(texts), np.int64)
         for n, text in enumerate(texts):
             if text:
-                parts = parts_of(text)
-                parts[0] = (parts[0],)
+                parts = parts_of(text, plain)
                 counts[n] = len(parts)
                 keys += parts
         self.count = self.used
