@@ -112,7 +112,7 @@ def fit_scale(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(c[0] / s), float(c[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 6000, unlabelled: int = 12000, checked: int = 6000):
+def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 3000, unlabelled: int = 6000, checked: int = 3000):
     """(model, scale, offset) or, without positives, the prior alone. ``learn``: of doc_id, whether its label may be seen."""
     ship(docs.sparkSession)
     key = F.xxhash64("doc_id", F.lit("quality"))
@@ -125,22 +125,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 60
         docs.filter(learn).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(unlabelled).select("doc_id", F.lit(1).alias("part"), F.lit(0).alias("q")),
         known.orderBy(F.xxhash64("doc_id", F.lit("check")), "doc_id").limit(checked).select("doc_id", F.lit(2).alias("part"), "q"),
     ]
-    ids = docs.sparkSession.createDataFrame([tuple(r) for p in parts for r in p.collect()], "_id long, part int, q int")
+    sample = [tuple(r) for p in parts for r in p.collect() if r["doc_id"] is not None]
+    ids = docs.sparkSession.createDataFrame(sample, "_id long, part int, q int")
 
     def run(batches):
+        held("quality")
         for b in batches:
             x = [features(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "x": pa.array(x, pa.binary())})
 
     seen = ids.select("_id").distinct()
     got = docs.join(F.broadcast(seen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary")
-    x_of = {r["doc_id"]: np.frombuffer(r["x"], np.float32) for r in got.collect()}
-    rows = [[(x_of[r["_id"]], r["q"]) for r in ids.filter(F.col("part") == k).orderBy("_id").collect() if r["_id"] in x_of] for k in range(3)]
+    place: dict[int, int] = {}
+    x = np.empty((len(sample), WIDTH), np.float32)
+    for r in got.collect():  # as many as were sampled, at most
+        if r["doc_id"] not in place and len(place) < len(x):
+            x[len(place)] = np.frombuffer(r["x"], np.float32)
+            place[r["doc_id"]] = len(place)
+    rows = [[(place[i], q) for i, part, q in sorted(sample) if part == k and i in place] for k in range(3)]
     if not rows[0] or not rows[1]:
         return None, prior, 0.0
-    model = fit(*(np.array([x for x, _ in rows[k]]) for k in (0, 1)), prior)
+    model = fit(*(x[[i for i, _ in rows[k]]] for k in (0, 1)), prior)
     model = tuple(np.asarray(p, np.float64) for p in model)
-    return model, *fit_scale(margin(model, np.array([x for x, _ in rows[2]])), np.array([q for _, q in rows[2]], float))
+    return model, *fit_scale(margin(model, x[[i for i, _ in rows[2]]]), np.array([q for _, q in rows[2]], float))
 
 
 def probability(trained, texts: list[bytes | None]) -> np.ndarray:
