@@ -139,7 +139,8 @@ class Result:
         if self.complement is not None:
             from varlens.operators.rows import _map_rows
 
-            rows = _map_rows(rows, self.complement.joint, {"complement": lambda j, _: j @ self.complement.joint_w})
+            w = self.complement.joint_w  # the closure must not hold the result and its session
+            rows = _map_rows(rows, self.complement.joint, {"complement": lambda j, _: j @ w})
             return rows.withColumn("prediction", F.col("complement") + self.f0).drop("complement")
         part = self.hetero.variance if self.hetero else None
         lv = (part.layout, part.w, part.h0) if part else None
@@ -193,6 +194,8 @@ def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform:
             on = [layout.terms[g].vars[0] for g in by_glasso(s, r, blocks)]
         elif c.selection == "1se" and fold:
             on = [layout.terms[g].vars[0] for g in by_one_se(folds, r, blocks)["active"]]
+        elif c.selection == "none":
+            on = list(range(d))
         else:
             v = block_variances(layout, found.w)
             on = active_variables({t.vars[0]: v[k] / max(v.sum(), 1e-300) for k, t in enumerate(layout.terms)}, c.threshold)

@@ -682,3 +682,49 @@ def saved_model(spark, sf_dir):
     path = Scratch(spark, "model").path + "/m"
     model_store.save(spark, model_store.of_result(f), path, f.penalty)
     return tidy(model_store.load(spark, path).predict(d).select("k", "prediction", "lo", "hi"), 4)
+
+
+# --- structure ---------------------------------------------------------------------------------------------
+
+
+@query()
+def additivity_shares(spark, sf_dir):
+    from varlens.operators.structure import additivity_shares as find
+
+    lay = Layout.build(["x1", "x2", "x3"], 3, 1)
+    got = find(stats_pass(planted(spark, sf_dir), lay, "y")[None], lay)
+    return make(spark, [(k, round(float(v), 4)) for k, v in enumerate(got["shares"])], "term int, share double")
+
+
+@query()
+def structure_test(spark, sf_dir):
+    from varlens.operators.structure import structure_test as test
+
+    lay = Layout.build(["x1", "x2", "x3"], 2)
+    got = test(planted(spark, sf_dir), lay, "y", 1e-3, adds=((0, 2), (1, 2)))
+    return make(spark, [(r["change"], ",".join(str(v + 1) for v in r["vars"]), round(r["loo_change"], 5), round(r["se"], 5)) for r in got], "change string, vars string, loo_change double, se double")
+
+
+@query(f"WITH {_LEV}, z AS (SELECT k, e, h, f FROM r) SELECT k, {R('0.5 * ln(2 * pi() * s2) + d * d / (2 * s2)', 3)} AS loo_nll FROM (SELECT z.k, e / (1 - h) AS d, (SELECT rss / (n - 2 * df + df * df) FROM t) AS s2 FROM z)")
+def loo_nll_rows(spark, sf_dir):
+    """Each row's deleted likelihood at the whole fit's noise."""
+    d, f = _leveraged(spark, sf_dir)
+    s2 = f.sigma2
+    return d.select("k", rd(F.lit(0.5 * math.log(2 * math.pi * s2)) + F.col("loo_residual") ** 2 / (2 * s2), 3).alias("loo_nll"))
+
+
+@query()
+def exact_loo(spark, sf_dir):
+    from varlens.operators.structure import exact_loo as loo
+
+    d = planted(spark, sf_dir)
+    return tidy(loo(d, _COS, "y", np.array([2.0]), "k"), 4)
+
+
+@query(f"WITH {_T1}, z AS (SELECT q.k, t.w * q.f AS p, rss / (n - 2 * df + df * df) AS s2, q.f * q.f / (t.c + 2) AS h FROM q, t) SELECT k, {R('s2 * h', 9)} AS epistemic, {R('s2')} AS aleatoric FROM z")
+def posterior_uncertainty(spark, sf_dir):
+    from varlens.operators.structure import uncertainty
+
+    s, f = _solve1(spark, sf_dir)
+    d = uncertainty(planted(spark, sf_dir), _COS, f.w, s.mean, f.inverse, f.sigma2)
+    return d.select("k", rd(F.col("epistemic"), 9).alias("epistemic"), rd(F.col("aleatoric")).alias("aleatoric"))
