@@ -317,7 +317,7 @@ def test_risk_is_non_negative_learning():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (400, 4))
     u = np.concatenate([rng.normal(1.5, 1, (600, 4)), rng.normal(-1.5, 1, (600, 4))])
-    model = fit(p, u, 0.5)
+    model = fit(np.concatenate([p, u]), np.arange(400), np.arange(400, 1600), 0.5)
     right = np.concatenate([margin(model, u[:600]) > 0, margin(model, u[600:]) < 0])
     assert right.mean() > 0.97
 

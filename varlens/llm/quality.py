@@ -63,19 +63,23 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5):
-    """(mean, scale, weights, offset) minimising the non-negative risk by Adam steps on mini-batches."""
+def fit(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 5):
+    """(mean, scale, weights, offset) minimising the non-negative risk by Adam steps on mini-batches of rows of ``x``."""
     both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p = np.clip((positive - mean) / scale, -6, 6)
-    u = np.clip((unlabelled - mean) / scale, -6, 6)
+    sums = np.zeros((2, x.shape[1]))
+    for a in range(0, len(both), 1024):
+        part = x[both[a : a + 1024]].astype(np.float64)
+        sums += part.sum(axis=0), (part * part).sum(axis=0)
+    mean = sums[0] / len(both)
+    scale = np.sqrt(np.maximum(sums[1] / len(both) - mean**2, 0)) + 1e-3
+    rows = lambda i: np.clip((x[i].astype(np.float32) - mean) / scale, -6, 6)
     rng = np.random.default_rng(seed)
-    w = np.zeros(p.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1)
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(u)), max(1, len(u) // batch)):
-            xu, xp = u[at], p[rng.integers(0, len(p), len(at))]
+        for at in np.array_split(rng.permutation(unlabelled), max(1, len(unlabelled) // batch)):
+            xu, xp = rows(at), rows(rng.choice(positive, len(at)))
             zu, zp = xu @ w[:-1] + w[-1], xp @ w[:-1] + w[-1]
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             gu, gp = sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp)
@@ -112,7 +116,7 @@ def fit_scale(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(c[0] / s), float(c[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 3000, unlabelled: int = 6000, checked: int = 3000):
+def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 6000, unlabelled: int = 12000, checked: int = 6000):
     """(model, scale, offset) or, without positives, the prior alone. ``learn``: of doc_id, whether its label may be seen."""
     ship(docs.sparkSession)
     key = F.xxhash64("doc_id", F.lit("quality"))
@@ -131,23 +135,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 30
     def run(batches):
         held("quality")
         for b in batches:
-            x = [features(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            x = [features(t).astype(np.float16).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "x": pa.array(x, pa.binary())})
 
     seen = ids.select("_id").distinct()
     got = docs.join(F.broadcast(seen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary")
     place: dict[int, int] = {}
-    x = np.empty((len(sample), WIDTH), np.float32)
+    x = np.empty((len(sample), WIDTH), np.float16)
     for r in got.collect():  # as many as were sampled, at most
         if r["doc_id"] not in place and len(place) < len(x):
-            x[len(place)] = np.frombuffer(r["x"], np.float32)
+            x[len(place)] = np.frombuffer(r["x"], np.float16)
             place[r["doc_id"]] = len(place)
     rows = [[(place[i], q) for i, part, q in sorted(sample) if part == k and i in place] for k in range(3)]
     if not rows[0] or not rows[1]:
         return None, prior, 0.0
-    model = fit(*(x[[i for i, _ in rows[k]]] for k in (0, 1)), prior)
+    model = fit(x, np.array([i for i, _ in rows[0]]), np.array([i for i, _ in rows[1]]), prior)
     model = tuple(np.asarray(p, np.float64) for p in model)
-    return model, *fit_scale(margin(model, x[[i for i, _ in rows[2]]]), np.array([q for _, q in rows[2]], float))
+    z = np.concatenate([margin(model, x[i : i + 1].astype(np.float64)) for i, _ in rows[2]])
+    return model, *fit_scale(z, np.array([q for _, q in rows[2]], float))
 
 
 def probability(trained, texts: list[bytes | None]) -> np.ndarray:
