@@ -138,3 +138,39 @@ def score_predictions(df: DataFrame, y: str, truth: str, prediction: str, sigma:
 def next_stages(explained: float, square_correlation: float) -> list[str]:
     """Interactions and complement if over 1 % is unexplained; a variance part if |corr(r^2, x)| exceeds 0.1."""
     return (["B", "C"] if 1 - explained > 0.01 else []) + (["D"] if square_correlation > 0.1 else [])
+
+
+def variance_accounting(df: DataFrame, y: Column, prediction: Column) -> DataFrame:
+    """Variance of y, of the prediction and of the residual, twice their covariance, and what explained and residual leave of the total."""
+    rows = df.select(y.alias("y"), prediction.alias("f"), (y - prediction).alias("r"))
+    v, f, r = F.var_pop("y"), F.var_pop("f"), F.var_pop("r")
+    return rows.agg(v.alias("total"), f.alias("explained"), r.alias("residual"), (2 * F.covar_pop("f", "r")).alias("cross"), ((f + r) / v - 1).alias("additivity_gap"))
+
+
+def haar_energy(df: DataFrame, x: str, residual: str, scales: int = 3) -> DataFrame:
+    """Share of the residual's variance in each Haar scale of x, from the means of 2**scales cells; one aggregation.
+
+    A wavelet's coefficient against cells of equal width is half the difference of its halves' means, times its amplitude.
+    """
+    n = 2**scales
+    cell = F.least(F.floor(F.col(x) * n), F.lit(n - 1)).cast("int")
+    cells = df.groupBy(cell.alias("cell")).agg(F.avg(residual).alias("m"))
+    whole = df.agg(F.var_pop(residual).alias("v"))
+    out = None
+    for j in range(1, scales + 1):
+        half = n >> j  # cells in half a wavelet
+        parts = cells.groupBy(F.floor(F.col("cell") / half).alias("h")).agg((F.sum("m") / half).alias("m"))
+        pairs = parts.groupBy(F.floor(F.col("h") / 2).alias("p")).agg(F.sum(F.when(F.col("h") % 2 == 0, F.col("m")).otherwise(-F.col("m"))).alias("d"))
+        energy = pairs.agg((F.sum(F.col("d") ** 2) / (4 * 2 ** (j - 1))).alias("e")).select(F.lit(j).alias("scale"), "e")
+        out = energy if out is None else out.unionByName(energy)
+    v = whole.head()["v"]
+    return out.select("scale", "e", (F.col("e") / F.lit(float(v) or 1.0)).alias("share"))
+
+
+def verify(df: DataFrame, features: list[str], target: str, residual: str, sigma2: float) -> DataFrame:
+    """check, value, ok: a fit's health as rows: centred residuals, noise that matches, uncorrelated residuals, normal coverage."""
+    z = F.col(residual) / math.sqrt(sigma2)
+    cells = [F.abs(F.avg(z)).alias("mean"), F.var_pop(z).alias("var"), F.avg(F.when(F.abs(z) <= 1.959963984540054, 1.0).otherwise(0.0)).alias("cover"), F.greatest(*[F.abs(F.corr(residual, c)) for c in features], F.lit(0.0)).alias("corr"), F.greatest(*[F.abs(F.corr(F.col(residual) ** 2, F.col(c))) for c in features], F.lit(0.0)).alias("square")]
+    row = df.agg(*cells)
+    rules = [("mean", F.col("mean") < 0.05), ("var", F.abs(F.col("var") - 1) < 0.2), ("cover", F.abs(F.col("cover") - 0.95) < 0.03), ("corr", F.col("corr") < 0.1), ("square", F.col("square") < 0.1)]
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("value"), ok.alias("ok")) for n, ok in rules])).alias("s")).select("s.*")

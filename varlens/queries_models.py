@@ -728,3 +728,43 @@ def posterior_uncertainty(spark, sf_dir):
     s, f = _solve1(spark, sf_dir)
     d = uncertainty(planted(spark, sf_dir), _COS, f.w, s.mean, f.inverse, f.sigma2)
     return d.select("k", rd(F.col("epistemic"), 9).alias("epistemic"), rd(F.col("aleatoric")).alias("aleatoric"))
+
+
+# --- accounts and checks -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_Z} SELECT {R('var_pop(y)')} AS total, {R('var_pop(f)')} AS explained, {R('var_pop(r)')} AS residual, {R('2 * covar_pop(f, r)')} AS \"cross\", {R('(var_pop(f) + var_pop(r)) / var_pop(y) - 1')} AS additivity_gap FROM z")
+def variance_accounting(spark, sf_dir):
+    return tidy(diagnostics.variance_accounting(_z(spark, sf_dir), F.col("y"), F.col("f")))
+
+
+@query(f"""WITH {_Z}, c AS (SELECT CAST(least(floor(x1 * 8), 7) AS INTEGER) AS cell, avg(r) AS m FROM z GROUP BY 1), j AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS scale),
+h AS (SELECT scale, cell // (8 >> scale) AS h, sum(m) / (8 >> scale) AS m FROM c, j GROUP BY ALL), w AS (SELECT scale, h // 2 AS w, sum(CASE WHEN h % 2 = 0 THEN m ELSE -m END) AS d FROM h GROUP BY ALL),
+e AS (SELECT scale, sum(d * d) / (4 * pow(2, scale - 1)) AS e FROM w GROUP BY scale) SELECT scale, {R('e')} AS e, {R('e / (SELECT var_pop(r) FROM z)')} AS share FROM e""")
+def haar_scale_energy(spark, sf_dir):
+    return tidy(diagnostics.haar_energy(_z(spark, sf_dir), "x1", "r", 3))
+
+
+@query(f"""WITH {_Z}, q AS (SELECT r / sqrt(0.5) AS s, r, x1, x2, x3 FROM z), a AS (SELECT abs(avg(s)) AS mean, var_pop(s) AS var, avg(CASE WHEN abs(s) <= 1.959963984540054 THEN 1.0 ELSE 0.0 END) AS cover,
+greatest(abs(corr(r, x1)), abs(corr(r, x2)), abs(corr(r, x3))) AS corr, greatest(abs(corr(r * r, x1)), abs(corr(r * r, x2)), abs(corr(r * r, x3))) AS square FROM q)
+SELECT 'mean' AS "check", {R('mean')} AS value, mean < 0.05 AS ok FROM a UNION ALL SELECT 'var', {R('var')}, abs(var - 1) < 0.2 FROM a UNION ALL SELECT 'cover', {R('cover')}, abs(cover - 0.95) < 0.03 FROM a
+UNION ALL SELECT 'corr', {R('corr')}, corr < 0.1 FROM a UNION ALL SELECT 'square', {R('square')}, square < 0.1 FROM a""")
+def model_checks(spark, sf_dir):
+    return tidy(diagnostics.verify(_z(spark, sf_dir), ["x1", "x2", "x3"], "y", "r", 0.5))
+
+
+@query("SELECT * FROM (VALUES (1000, 5, 2, 0), (100000, 5, 5, 2), (1000, 20, 2, 0)) t(n, d, k1, k2)")
+def first_fit_plan(spark, sf_dir):
+    """Orders for a first fit within a tenth of the rows."""
+    from varlens.plans.layout import first_try
+
+    return make(spark, [(n, d, (p := first_try(n, d))["k1"], p["k2"]) for n, d in ((1000, 5), (100_000, 5), (1000, 20))], "n int, d int, k1 int, k2 int")
+
+
+@query()
+def variance_lambda(spark, sf_dir):
+    """The log-variance penalty by held-out likelihood over folds."""
+    d = synthetic.catalogue(spark, "apart", 600).withColumn("fold", (F.col("i") % 2).cast("int"))
+    m, v = Layout.build([f"x{k}" for k in range(1, 7)], 1), Layout.build(["x3"], 1)
+    got = variance.best_variance_lambda(d, m, v, "y", m.penalty(1e-3), v.penalty(1.0), "fold", [1.0, 100.0])
+    return make(spark, [(r["lambda"], round(r["nll"], 3), got["at_edge"]) for r in got["path"]], "lambda double, nll double, at_edge boolean")
