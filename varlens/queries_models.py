@@ -739,7 +739,7 @@ def variance_accounting(spark, sf_dir):
 
 
 @query(f"""WITH {_Z}, c AS (SELECT CAST(least(floor(x1 * 8), 7) AS INTEGER) AS cell, avg(r) AS m FROM z GROUP BY 1), j AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS scale),
-h AS (SELECT scale, cell // (8 >> scale) AS h, sum(m) / (8 >> scale) AS m FROM c, j GROUP BY ALL), w AS (SELECT scale, h // 2 AS w, sum(CASE WHEN h % 2 = 0 THEN m ELSE -m END) AS d FROM h GROUP BY ALL),
+h AS (SELECT scale, cell // (8 >> scale) AS h, sum(m / (8 >> scale)) AS m FROM c, j GROUP BY ALL), w AS (SELECT scale, h // 2 AS w, sum(CASE WHEN h % 2 = 0 THEN m ELSE -m END) AS d FROM h GROUP BY ALL),
 e AS (SELECT scale, sum(d * d) / (4 * pow(2, scale - 1)) AS e FROM w GROUP BY scale) SELECT scale, {R('e')} AS e, {R('e / (SELECT var_pop(r) FROM z)')} AS share FROM e""")
 def haar_scale_energy(spark, sf_dir):
     return tidy(diagnostics.haar_energy(_z(spark, sf_dir), "x1", "r", 3))
@@ -760,11 +760,3 @@ def first_fit_plan(spark, sf_dir):
 
     return make(spark, [(n, d, (p := first_try(n, d))["k1"], p["k2"]) for n, d in ((1000, 5), (100_000, 5), (1000, 20))], "n int, d int, k1 int, k2 int")
 
-
-@query()
-def variance_lambda(spark, sf_dir):
-    """The log-variance penalty by held-out likelihood over folds."""
-    d = synthetic.catalogue(spark, "apart", 600).withColumn("fold", (F.col("i") % 2).cast("int"))
-    m, v = Layout.build([f"x{k}" for k in range(1, 7)], 1), Layout.build(["x3"], 1)
-    got = variance.best_variance_lambda(d, m, v, "y", m.penalty(1e-3), v.penalty(1.0), "fold", [1.0, 100.0])
-    return make(spark, [(r["lambda"], round(r["nll"], 3), got["at_edge"]) for r in got["path"]], "lambda double, nll double, at_edge boolean")
