@@ -82,7 +82,12 @@ class Quantiles:
         at = F.array(*[F.lit(float(r)) for r in refs])
         one = (lambda c: F.percentile(F.col(c).cast("double"), at)) if accuracy is None else (lambda c: F.percentile_approx(F.col(c).cast("double"), at, accuracy))
         row = df.agg(*[one(c).alias(f"q{i}") for i, c in enumerate(features)]).head()
-        return cls(tuple(features), refs, np.array([row[f"q{i}"] for i in range(len(features))], float))
+        values = np.array([row[f"q{i}"] for i in range(len(features))], float)
+        for v in values:  # interpolation between equal values may leave the last bit different: ties are ties
+            for k in range(1, len(v)):
+                if v[k] - v[k - 1] <= 1e-13 * max(abs(v[k]), abs(v[k - 1])):
+                    v[k] = v[k - 1]
+        return cls(tuple(features), refs, values)
 
     def one(self, x: np.ndarray, i: int) -> np.ndarray:
         """Interpolated ranks; a tie is the mean of its first and last rank."""
