@@ -82,8 +82,11 @@ def held(kind, make=lambda: None):
     Workers outlive tasks and are shared by all operators of an application; caches that pile up would be lost memory.
     """
     if _HELD[0] != kind:
+        import pyarrow as pa
+
         _HELD[:] = [None, None]
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (OSError, AttributeError):  # not glibc
