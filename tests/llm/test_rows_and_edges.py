@@ -367,6 +367,24 @@ def test_language_model_probabilities_add_up():
     assert np.logaddexp2(*one) == pytest.approx(score_bits(bit[:-1], odds[:, :-1]), abs=1e-3)
 
 
+def test_language_model_learns_within_short_texts():
+    """Weights and map follow a text from its first few dozen bits on; texts side by side do not touch each other."""
+    import numpy as np
+
+    from varlens.llm.lm_score import score_bits, score_texts
+
+    rng = np.random.default_rng(2)
+    n = [1200, 40, 5000, 0, 3000]
+    edges = np.append(0, np.cumsum(n))
+    bit = (rng.random(edges[-1]) < 0.5).astype(np.float32)
+    odds = rng.normal(0, 1.5, (3, edges[-1])).astype(np.float32)
+    odds[1] = np.where(bit == 1, -3, 3)  # a predictor that is always wrong
+    each = [score_bits(bit[a:b], odds[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    assert score_texts(bit, odds, edges) == pytest.approx(each)
+    # Unlearned, each bit costs over two; a text of 1200 bits learns to read the predictor the other way round.
+    assert each[1] < -2 * 40 and each[0] > -0.4 * 1200
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
