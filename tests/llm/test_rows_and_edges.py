@@ -385,6 +385,39 @@ def test_language_model_learns_within_short_texts():
     assert each[1] < -2 * 40 and each[0] > -0.4 * 1200
 
 
+@pytest.mark.parametrize("head", [4, 1 << 17])
+def test_language_model_keeps_every_context_apart(spark, head):
+    """Scores are those from exact counts of all (context, node) pairs, however few contexts are broadcast."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from varlens.llm.lm_score import STEP, TREES, bits_of, huffman, score, score_bits, trees_of
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g["doc_id"]: g["score"] for g in score(df, held_out=F.col("doc_id") >= 80, head_pairs=head).collect()}
+    pairs = np.zeros((TREES, 257), np.int64)
+    for t in texts[:80]:
+        x = t.encode()
+        for i in range(len(x) + 1):
+            two = (x[i - 1] if i else 0) | (x[i - 2] << 8 if i > 1 else 0)
+            pairs[trees_of(np.array([two], np.uint32))[0], x[i] if i < len(x) else 256] += 1
+    code = huffman(pairs)
+    seen = [Counter() for _ in range(3)]
+    for t in texts[:80]:
+        for c, slots in zip(seen, bits_of([t.encode()], code)[1], strict=True):
+            c.update(slots.tolist())
+    for i, t in enumerate(texts):
+        slots = bits_of([t.encode()], code)[1]
+        odds = [[np.log((c[s | 1] + 0.4) / (c[s & ~1] + 0.4)) for s in x.tolist()] for c, x in zip(seen, slots, strict=True)]
+        steps = np.rint(np.clip(odds, -9, 9) / STEP).astype(np.float32) * STEP
+        assert got[i] == pytest.approx(score_bits((slots[0] & 1).astype(np.float32), steps) * np.log10(2), rel=1e-4)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
