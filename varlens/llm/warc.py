@@ -4,6 +4,7 @@ Each page is one gzip member in a WARC file. Pages with equal payloads share one
 largest page_id; the others are revisit records that name it. Captures are sorted by reversed-host
 URL keys into compressed blocks of ``LINES`` index lines; the directory keeps each block's first key and
 byte range. A lookup searches the directory, then a block, by halving, and reads two byte ranges.
+The whole-table query reads every block instead; only single lookups search.
 
 Scale: equal payloads are found by a map-side combined aggregation of digests; the pages join only
 the digests that occur more than once. Index lines are range-partitioned, so a host with most pages
