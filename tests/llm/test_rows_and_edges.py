@@ -418,6 +418,19 @@ def test_language_model_keeps_every_context_apart(spark, head):
         assert got[i] == pytest.approx(score_bits((slots[0] & 1).astype(np.float32), steps) * np.log10(2), rel=1e-4)
 
 
+def test_one_of_each_keeps_one_row_of_repeated_rows_and_null_ids(spark):
+    from varlens.llm.neardup import one_of_each
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = b.replace("b59", "b60")
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (None, near), (2, c), (None, c), (3, ""), (3, ""), (None, None), (None, "")]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [g["doc_id"] for g in got].count(1) == 1
+    assert [(g["doc_id"], g["text"]) for g in got if g["text"] == c] == [(2, c)]
+    assert len([g for g in got if g["text"] in (b, near)]) == 1
+    assert len(got) == 6 and len([g for g in got if g["doc_id"] is None and not g["text"]]) == 2
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -107,7 +107,7 @@ def _sketch(width: int):
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "text_key": batch.column("text_key"),
+                    "row": batch.column("row"),
                     "n_shingles": pa.array(counts, pa.int64()),
                     "digest": pa.array(digests, pa.binary()),
                     "sig": pa.array([x.tobytes() for x in low], pa.binary()),
@@ -237,21 +237,26 @@ def _span(part: int, whole: int):
 
 
 def one_of_each(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """``docs``, all columns, less the rows that near_duplicates does not keep."""
-    found = near_duplicates(docs, width, part, whole, text_key=True)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("text_key").alias("_nd_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_nd_id"]) & (F.xxhash64(docs["text"]) == gone["_nd_key"])
-    return docs.join(gone, same, "left_anti")
+    """``docs``, all columns: one row of each component, and all blank rows without doc_id, each its own component.
 
+    Rows that share a doc_id are one document, and so one row. The row stays that near_duplicates keeps, not a blank one
+    if there is another, and the first of several.
+    """
+    marked = Scratch(docs.sparkSession, "one").save(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    found = Scratch(docs.sparkSession, "one").save(near_duplicates(marked, width, part, whole, "_row").select("row", "n_shingles", "kept", "group"), "found")
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(~F.col("kept"), F.col("n_shingles") == 0, "row"))["row"].alias("row"))
+    gone = found.filter("group is not null").join(first, "row", "left_anti").select(F.col("row").alias("_row"))
+    return marked.join(gone, "_row", "left_anti").select(*docs.columns)
 
-def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, text_key: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (and text_key, a hash of the text) for ``docs`` (doc_id, text), linking at part / whole or more."""
+
+def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (and, given a column ``row``, its values and group, the component with a number of its own where it has no id) for ``docs`` (doc_id, text), linking at part / whole or more."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    rows = scratch.save(keyed.mapInArrow(_sketch(width), "doc_id long, text_key long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(row) if row else F.lit(0)).cast("long").alias("row"))
+    docs = keyed.select("doc_id", "text")
+    rows = scratch.save(keyed.mapInArrow(_sketch(width), "doc_id long, row long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
 
     stand_in = F.lit(NO_ID_FROM) + F.shiftright(F.abs(F.xxhash64("digest")), 2)
     nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low")).select("digest", F.coalesce("low", stand_in).alias("node"), F.col("low").isNull().alias("_no"))
@@ -305,8 +310,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     star = components(star.unionByName(more), scratch, "all-cc")
 
     ids = classes.select("digest", "node").join(star.toDF("node", "_c"), "node", "left").select("digest", F.coalesce("_c", "node").alias("_c"))
-    ids = ids.withColumn("_c", F.when(F.col("_c") < NO_ID_FROM, F.col("_c"))).withColumn("_in", F.lit(True))
-    out = rows.select("doc_id", "text_key", "n_shingles", "digest").join(ids, "digest", "left")
+    ids = ids.withColumn("_group", F.col("_c")).withColumn("_c", F.when(F.col("_c") < NO_ID_FROM, F.col("_c"))).withColumn("_in", F.lit(True))
+    out = rows.select("doc_id", "row", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("_in"), F.col("_c")).otherwise(F.col("doc_id"))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
-    return out.select(*columns, *["text_key"] * text_key)
+    return out.select(*columns, *(["row", F.coalesce("_group", "doc_id").alias("group")] if row else []))
