@@ -6,27 +6,6 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, kept boolean, target double"
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Odd rows, with extra columns whose names the operators' results use."""
-    r = random.Random(3)
-    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(1, 6)))
-    long = " ".join(word() for _ in range(60_000))
-    lines = ["one two three", "four five six", "seven eight nine", "ten"]
-    texts = [None, "", " \t\n", "a", "a b c", "\n".join(lines), "x\n" + "\n".join(lines), long, long + " tail", "Dup text here now", "Dup text here now", "é ü 中文 \U0001f600 end"]
-    texts += [" ".join(word() for _ in range(40)) for _ in range(30)]
-    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, None if t is None else len(t), 7, 0.5, True, 1.0) for i, t in enumerate(texts)]
-    rows += [rows[9], (None, "no id here at all", None, None, 1, 1, None, None, None), (None, None, None, None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
-
 
 def test_mixing(odd, empty):
     from varlens.llm.mixing import mix, mixed_documents
@@ -322,102 +301,6 @@ def test_risk_is_non_negative_learning():
     assert right.mean() > 0.97
 
 
-def test_language_model(odd, empty, spark):
-    import math
-    from collections import Counter
-
-    from varlens.llm.lm_score import bits_of, huffman, score
-
-    got = {g["doc_id"]: g for g in score(odd.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
-    rows = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in odd.collect() if r["doc_id"] is not None}
-    train = [i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for i in train for w in rows[i])
-    c[None] = len(train)
-    n, v = sum(c.values()), len(c)
-    for i, words in rows.items():
-        want = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words, None])
-        g = got[i]
-        assert g["base_score"] == pytest.approx(want) and g["train_tokens"] == n and g["n_tokens"] == len(words) + 1
-        assert g["n_known"] == sum(c[w] > 0 for w in [*words, None]) and g["score"] < 0
-        assert g["held_out"] == (i not in train)
-    assert score(odd).count() == odd.count()
-    assert score(empty).count() == 0
-    # Codes are prefix-free and complete, and a text's bits do not depend on its neighbours.
-    import numpy as np
-
-    start, length, branches = code = huffman(np.tile(np.arange(257), (2048, 1)))
-    words = {tuple(branches[a : a + k].tolist()) for a, k in zip(start[:257], length[:257], strict=True)}
-    assert len(words) == 257 and sum(0.5 ** len(w) for w in words) == pytest.approx(1)
-    together, alone = bits_of([b"abc def", b"xyz"], code), bits_of([b"xyz"], code)
-    for a, b in zip(together[1], alone[1], strict=True):
-        assert a[together[0][1] :].tolist() == b.tolist()
-
-
-def test_language_model_probabilities_add_up():
-    """Over both values of the last bit, the model's probabilities add up to that of what came before."""
-    import numpy as np
-
-    from varlens.llm.lm_score import score_bits
-
-    rng = np.random.default_rng(1)
-    odds = rng.normal(0, 3, (3, 3000)).astype(np.float32)
-    bit = (rng.random(3000) < 0.7).astype(np.float32)
-    # The last bit is alone in what it changes: nothing after it is scored.
-    one = [score_bits(np.append(bit[:-1], v).astype(np.float32), odds) for v in (0, 1)]
-    assert np.logaddexp2(*one) == pytest.approx(score_bits(bit[:-1], odds[:, :-1]), abs=1e-3)
-
-
-def test_language_model_learns_within_short_texts():
-    """Weights and map follow a text from its first few dozen bits on; texts side by side do not touch each other."""
-    import numpy as np
-
-    from varlens.llm.lm_score import score_bits, score_texts
-
-    rng = np.random.default_rng(2)
-    n = [1200, 40, 5000, 0, 3000]
-    edges = np.append(0, np.cumsum(n))
-    bit = (rng.random(edges[-1]) < 0.5).astype(np.float32)
-    odds = rng.normal(0, 1.5, (3, edges[-1])).astype(np.float32)
-    odds[1] = np.where(bit == 1, -3, 3)  # a predictor that is always wrong
-    each = [score_bits(bit[a:b], odds[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    assert score_texts(bit, odds, edges) == pytest.approx(each)
-    # Unlearned, each bit costs over two; a text of 1200 bits learns to read the predictor the other way round.
-    assert each[1] < -2 * 40 and each[0] > -0.4 * 1200
-
-
-@pytest.mark.parametrize("head", [4, 1 << 17])
-def test_language_model_keeps_every_context_apart(spark, head):
-    """Scores are those from exact counts of all (context, node) pairs, however few contexts are broadcast."""
-    import random
-    from collections import Counter
-
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from varlens.llm.lm_score import STEP, TREES, bits_of, huffman, score, score_bits, trees_of
-
-    rng = random.Random(5)
-    texts = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {g["doc_id"]: g["score"] for g in score(df, held_out=F.col("doc_id") >= 80, head_pairs=head).collect()}
-    pairs = np.zeros((TREES, 257), np.int64)
-    for t in texts[:80]:
-        x = t.encode()
-        for i in range(len(x) + 1):
-            two = (x[i - 1] if i else 0) | (x[i - 2] << 8 if i > 1 else 0)
-            pairs[trees_of(np.array([two], np.uint32))[0], x[i] if i < len(x) else 256] += 1
-    code = huffman(pairs)
-    seen = [Counter() for _ in range(3)]
-    for t in texts[:80]:
-        for c, slots in zip(seen, bits_of([t.encode()], code)[1], strict=True):
-            c.update(slots.tolist())
-    for i, t in enumerate(texts):
-        slots = bits_of([t.encode()], code)[1]
-        odds = [[np.log((c[s | 1] + 0.4) / (c[s & ~1] + 0.4)) for s in x.tolist()] for c, x in zip(seen, slots, strict=True)]
-        steps = np.rint(np.clip(odds, -9, 9) / STEP).astype(np.float32) * STEP
-        assert got[i] == pytest.approx(score_bits((slots[0] & 1).astype(np.float32), steps) * np.log10(2), rel=1e-4)
-
-
 def test_one_of_each_keeps_one_row_of_repeated_rows_and_null_ids(spark):
     from varlens.llm.neardup import one_of_each
 
