@@ -337,3 +337,31 @@ def test_pipeline(spark, tmp_path):
             assert len([i for i in ids if i is not None and i < 120]) >= 118
     out = cp.run(spark, str(tmp_path)).collect()
     assert {o["doc_id"] for o in out} <= {i for i, *_ in rows} and len(out) >= 100
+
+
+def test_families_without_links_compare_each_pair_once(spark, monkeypatch):
+    """Texts that share three quarters of their shingles fill buckets with outliers: chunks meet once, and links among them are found."""
+    from varlens.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        t = list(base)
+        for j in range(5):
+            t[20 * j + r.randint(2, 15)] = f"z{i}-{j}"
+        rows.append((i, " ".join(t)))
+    for i in range(240, 300):  # near copies of some of them
+        t = rows[r.randint(0, 239)][1].split()
+        t[119] = f"e{i}"
+        rows.append((i, " ".join(t)))
+    got = {g["doc_id"]: g["component_id"] for g in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    low = {i: i for i in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in range(a):
+                if low[a] != low[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    assert got == low and len(set(low.values())) > 200

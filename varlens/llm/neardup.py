@@ -14,8 +14,9 @@ the full sets, until the two components are linked. What leaves a block is a spa
 So every link between candidates is either confirmed or joins classes that are connected already.
 
 Scale: texts are read once for the sketch; only texts of candidate classes are read again and moved.
-Hot buckets are combined map-side; members return to them by a join that adaptive execution splits,
-and blocks of at most ``BLOCK`` members bound what one group of comparisons holds.
+Hot buckets are combined map-side; members return to them by a join that adaptive execution splits.
+A bucket's outliers and other members are cut into chunks of about half a ``BLOCK``; an outliers' chunk meets each chunk
+from itself on, in a unit of its own, so that every pair is compared once and two chunks bound what a task holds.
 
 Defined results: a null or blank text has the empty set, is linked with nothing and is its own
 component; texts with fewer words than ``width`` have one shingle, all their words; rows that share a
@@ -147,18 +148,18 @@ def _confirm(part: int, whole: int):
     return run
 
 
-ROW = "h long, chunk int, node long, comp long, n_shingles long, outlier boolean, sig binary, bands array<long>"
+ROW = "h long, unit long, own long, lead long, node long, comp long, n_shingles long, sig binary, bands array<long>"
 
 
 def _groups(batches):
-    """Tables of one (h, chunk) each, from batches sorted by it."""
+    """Tables of one (h, unit) each, from batches sorted by it."""
     open_key, parts = None, []
     for batch in batches:
-        h, chunk = batch.column("h").to_numpy(), batch.column("chunk").to_numpy()
-        cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(h)]
+        h, unit = batch.column("h").to_numpy(), batch.column("unit").to_numpy()
+        cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (unit[1:] != unit[:-1])) + 1).tolist(), len(h)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
-                if (key := (h[a], chunk[a])) != open_key:
+                if (key := (h[a], unit[a])) != open_key:
                     if parts:
                         yield parts
                     open_key, parts = key, []
@@ -168,13 +169,15 @@ def _groups(batches):
 
 
 class _Block:
-    """The members of one bucket that are compared with each other."""
+    """Two chunks of a bucket that are compared with each other, or one with itself."""
 
     def __init__(self, rows: pa.Table, part: int, whole: int):
         self.rows, self.part, self.whole = rows, part, whole
         self.comp = rows.column("comp").to_numpy().copy()
         self.n = rows.column("n_shingles").to_numpy()
-        self.outliers = np.flatnonzero(rows.column("outlier").to_numpy(zero_copy_only=False))
+        self.own = rows.column("own").to_numpy()
+        self.outliers = np.flatnonzero(self.own == rows.column("lead").to_numpy())  # the chunk whose members look for partners
+        self.inside = bool((self.own == self.own[0]).all())
         self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         self.band = int((self.bands[0] == rows.column("h")[0].as_py()).argmax())
@@ -184,7 +187,12 @@ class _Block:
     def partners(self, i: int) -> np.ndarray:
         """Members of other components that may be linked with i, likeliest first; each pair in its first common band only."""
         n = self.n
-        at = np.flatnonzero((self.comp != self.comp[i]) & (self.whole * np.minimum(n, n[i]) >= self.part * np.maximum(n, n[i])))
+        other = self.comp != self.comp[i]
+        if self.inside:
+            other[: i + 1] = False
+        else:
+            other &= self.own != self.own[i]
+        at = np.flatnonzero(other & (self.whole * np.minimum(n, n[i]) >= self.part * np.maximum(n, n[i])))
         at = at[(self.bands[at] == self.bands[i]).argmax(axis=1) == self.band]
         alike = (self.sig[at] == self.sig[i]).mean(axis=1)
         order = np.argsort(-alike, kind="stable")
@@ -294,15 +302,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     at = members.join(star.toDF("node", "_c"), "node", "left").join(star.toDF("hub", "_h"), "hub", "left")
     at = at.select("h", "members", "node", F.coalesce("_c", "node").alias("comp"), F.coalesce("_h", "hub").alias("hub_comp"))
     at = at.withColumn("outlier", F.col("comp") != F.col("hub_comp"))
-    open_h = at.filter("outlier").select("h").distinct()
-    at = scratch.save(at.join(open_h, "h", "left_semi"), "open")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    spread = F.when(F.col("outlier"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
-    at = at.withColumn("chunk", F.explode(spread)).join(classes.select("node", "n_shingles", "sig", "bands"), "node")
+    open_h = at.filter("outlier").groupBy("h").agg(F.count("*").alias("outliers"))
+    at = scratch.save(at.join(open_h, "h"), "open")
+    # Chunks of half a block, outliers' first; a unit is an outliers' chunk with one from there on, so each pair meets once.
+    parts = lambda n: F.ceil(n * 2 / BLOCK).cast("long")
+    out_chunks, chunks = F.col("_o"), F.col("_o") + F.col("_n")
+    at = at.withColumn("_o", F.greatest(F.lit(1), parts(F.col("outliers")))).withColumn("_n", parts(F.col("members") - F.col("outliers")))
+    chunk = F.when(F.col("outlier"), F.pmod(F.xxhash64("node"), out_chunks)).otherwise(out_chunks + F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.col("_n"))))
+    at = at.withColumn("own", chunk)
+    met = F.when(F.col("outlier"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.sequence(F.lit(0).cast("long"), out_chunks - 1))
+    at = at.withColumn("_met", F.explode(met)).withColumn("lead", F.least("own", "_met"))
+    at = at.withColumn("unit", F.col("lead") * chunks + F.greatest("own", "_met")).join(classes.select("node", "n_shingles", "sig", "bands"), "node")
     columns = [c.split()[0] for c in ROW.split(", ")]
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return rows.repartition("h", "chunk").sortWithinPartitions("h", "chunk")
+        return rows.repartition("h", "unit").sortWithinPartitions("h", "unit")
 
     involved = scratch.save(blocks(at.select(*columns)).mapInArrow(_involved(part, whole), ROW), "involved")
     with_sets = involved.join(sets_of(involved.select("node"), "more"), "node").select(*columns, "shingles")
