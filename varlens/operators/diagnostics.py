@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varlens.functions.numeric import normal_quantile, t_cdf
+from varlens.operators.rows import linear
+from varlens.operators.sensitivity import shares
+from varlens.plans.layout import Layout
+from varlens.session import Scratch
 
 
 def residual_correlations(df: DataFrame, features: list[str], residual: str) -> DataFrame:
@@ -50,25 +54,35 @@ def replicate_noise(df: DataFrame, features: list[str], target: str, digits: int
 
 
 def neighbour_noise(df: DataFrame, features: list[str], target: str, key: str, cells: int = 16) -> DataFrame:
-    """Half the mean squared difference to the nearest row, features standardised.
+    """Half the mean squared difference to the nearest row, features standardised; of equally near rows that with the least key.
 
-    Rows are put in cells of the first two features and compared with those of the nine cells around them, so the work
-    follows the rows in a cell; the neighbour found is the nearest within a cell's width. ``cells`` should grow as
-    the root of the rows.
+    Rows are put in cells of the first two features and compared with those of the nine cells around them. A row further
+    than a cell's width from all of these may have a nearer one outside: such rows try again with cells twice as wide,
+    until none is left. Rows with a null take no part. ``cells`` should grow as the root of the rows. Each round is written to the shared folder.
     """
-    stats = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).head()
+    stats = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))]).head()
     z = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(features)]
-    rows = df.select(F.col(key).alias("k"), F.col(target).cast("double").alias("y"), *z)
+    scratch = Scratch(df.sparkSession, "neighbours")
+    rows = scratch.save(df.select(F.col(key).alias("k"), F.col(target).cast("double").alias("y"), *z).dropna(), "rows")
+    span = max([0.0, *((stats[f"b{i}"] - stats[f"a{i}"]) / (stats[f"s{i}"] or 1.0) for i in range(len(features)) if stats[f"a{i}"] is not None)])
     first = min(2, len(features))
-    at = [F.floor(F.col(f"z{i}") * cells / 4).cast("long").alias(f"g{i}") for i in range(first)]
-    rows = rows.select("*", *at)
-    near = rows
-    for i in range(first):
-        near = near.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + d for d in (-1, 0, 1)])))
-    pairs = rows.alias("a").join(near.alias("b"), [F.col(f"a.g{i}") == F.col(f"b.g{i}") for i in range(first)]).filter("a.k != b.k")
     d2 = sum((F.pow(F.col(f"a.z{i}") - F.col(f"b.z{i}"), 2) for i in range(len(features))), F.lit(0.0))
-    best = pairs.select(F.col("a.k").alias("k"), F.struct(d2.alias("d2"), F.col("b.k").alias("k2"), (F.col("a.y") - F.col("b.y")).alias("dy")).alias("s")).groupBy("k").agg(F.min("s").alias("s"))
-    return best.agg((F.avg(F.col("s.dy") ** 2) / 2).alias("sigma2"), F.count("*").alias("rows"))
+    width, left, done, step = 4.0 / cells, rows, None, 0
+    while True:
+        last = width >= span  # the nine cells then hold all rows
+        at = [F.floor(F.col(f"z{i}") / width).cast("long").alias(f"g{i}") for i in range(first)]
+        near = rows.select("*", *at)
+        for i in range(first):
+            near = near.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + d for d in (-1, 0, 1)])))
+        pairs = left.select("*", *at).alias("a").join(near.alias("b"), [F.col(f"a.g{i}") == F.col(f"b.g{i}") for i in range(first)]).filter("a.k != b.k")
+        found = pairs.select(F.col("a.k").alias("k"), F.struct(d2.alias("d2"), F.col("b.k").alias("k2"), (F.col("a.y") - F.col("b.y")).alias("dy")).alias("s")).groupBy("k").agg(F.min("s").alias("s"))
+        found = scratch.save(found.filter(F.lit(last) | (F.col("s.d2") <= width * width)), f"found-{step}")
+        done = found if done is None else done.unionByName(found)
+        left = scratch.save(left.join(found, "k", "left_anti"), f"left-{step}")
+        if last or left.isEmpty():
+            break
+        width, step = width * 2, step + 1
+    return done.agg((F.avg(F.col("s.dy") ** 2) / 2).alias("sigma2"), F.count("*").alias("rows"))
 
 
 def correlation_test(df: DataFrame, features: list[str], level: float = 0.05) -> DataFrame:
@@ -114,6 +128,22 @@ def dependence_test(df: DataFrame, features: list[str], sample: int = 256, permu
     return {"statistic": seen, "p": (hits + 1) / (permutations + 1), "rows": len(rows)}
 
 
+def pair_dependence(df: DataFrame, a: str, b: str, sample: int = 2000) -> float:
+    """Distance correlation of two columns, on a hash-ordered sample (a sampling operator: its size is the parameter)."""
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).orderBy(F.xxhash64("a", "b"), "a", "b").limit(sample).toPandas()
+    return distance_correlation(rows["a"].to_numpy(), rows["b"].to_numpy())
+
+
+def share_divergence(df: DataFrame, layout: Layout, w: np.ndarray) -> DataFrame:
+    """variable, structural (under independent uniform inputs) and correlative share of each main effect, and their distance."""
+    cols = layout.columns()
+    parts = {",".join(map(str, t.vars)): linear(cols[layout.block(k)], w[layout.block(k)]) for k, t in enumerate(layout.terms)}
+    found = component_covariances(df, parts)
+    own = [(",".join(map(str, s["vars"])), s["vars"][0] + 1, s["share_core"]) for s in shares(layout, w) if len(s["vars"]) == 1]
+    named = df.sparkSession.createDataFrame(own, "component string, variable int, structural double")
+    return named.join(found, "component").select("variable", "structural", F.col("share").alias("correlative"), F.abs(F.col("structural") - F.col("share")).alias("divergence"))
+
+
 def component_covariances(df: DataFrame, components: dict[str, Column]) -> DataFrame:
     """component, covariance with their sum, and its share: the shares add up to 1 under any dependence."""
     whole = sum(components.values(), F.lit(0.0))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from varlens.operators import prepare
 from varlens.operators.diagnostics import next_stages, residual_correlations
-from varlens.operators.residual import Complement, Features, fit_complement, kmeans_centres
+from varlens.operators.residual import Complement, Features, complement_variance, fit_complement, kmeans_centres
 from varlens.operators.ridge import Solution, best_lambdas, order_shapes, solve
-from varlens.operators.rows import intervals, predict, sandwich
+from varlens.operators.rows import _map_rows, intervals, predict, sandwich
 from varlens.operators.selection import active_variables, by_bic, by_glasso, by_one_se
 from varlens.operators.sensitivity import block_variances, components_table, share_intervals, shares, total_order
 from varlens.operators.stats import Stats, stats_pass, total
@@ -105,24 +105,64 @@ class Result:
     log: list[dict] = field(default_factory=list)
     rows: DataFrame | None = None
 
-    def shares(self) -> list[dict]:
-        return shares(self.layout, self.solution.w)
+    @property
+    def noise(self):
+        """The log-variance part, where one was kept."""
+        return self.hetero.variance if self.hetero else None
+
+    @property
+    def weights(self) -> np.ndarray:
+        """The coefficients that predict: weighted by the noise where its part was kept."""
+        return self.hetero.w if self.noise else self.solution.w
+
+    def shares(self, measure: str | None = None) -> list[dict]:
+        """A row per term; ``share_total`` counts a complement's variance under ``measure``: cube (default) or data."""
+        return shares(self.layout, self.weights, self.residual_variance(measure or "cube"))
+
+    def residual_variance(self, measure: str = "cube") -> float:
+        if self.complement is None:
+            return 0.0
+        return complement_variance(self.complement, None if measure == "cube" else self.rows)
+
+    def noise_components(self) -> DataFrame:
+        """The spectrum of the log-variance: empty without that part."""
+        part = self.noise
+        return components_table(self.rows.sparkSession, part.layout if part else Layout(tuple(self.features), ()), part.w if part else np.zeros(0), "noise")
+
+    def to_dict(self) -> dict:
+        """All numbers of the fit as plain Python values."""
+        s, part = self.solution, self.noise
+        names = lambda vs: [self.features[v] for v in vs]
+        terms = [{"vars": names(x["vars"]), "variance": x["variance"], "share_core": x["share_core"], "share_total": x["share_total"]} for x in self.shares()]
+        out = {"target": self.target, "features": list(self.features), "stages": list(self.stages), "rows": int(s.n), "columns": self.layout.size, "intercept": float(self.hetero.f0 if part else self.f0), "mse": s.mse, "r2": 1 - s.rss / max(self.stats.yy, 1e-300), "sigma2": s.sigma2, "df": s.df, "gcv": s.gcv, "aic": s.aic, "bic": s.bic, "terms": terms, "total_order": {k: float(v) for k, v in self.total_order().items()}, "coefficients": [float(x) for x in self.weights]}
+        out["noise"] = None if part is None else [{"vars": names(x["vars"]), "share": x["share_core"]} for x in shares(part.layout, part.w)]
+        return out
+
+    def summary(self, most: int = 10) -> str:
+        """A few lines of text: quality, then the largest terms."""
+        d = self.to_dict()
+        lines = [f"{d['target']}: {d['rows']} rows, {d['columns']} columns, stages {''.join(d['stages'])}, R2 {d['r2']:.4f}, noise variance {d['sigma2']:.4g}"]
+        lines += [f"  {' x '.join(t['vars']):<24} {t['share_core']:.4f}" for t in sorted(d["terms"], key=lambda t: -t["share_core"])[:most]]
+        return "\n".join(lines)
 
     def first_order(self) -> dict[str, float]:
         return {self.features[s["vars"][0]]: s["share_core"] for s in self.shares() if len(s["vars"]) == 1}
 
     def total_order(self) -> dict[str, float]:
-        return dict(zip(self.features, total_order(self.layout, self.solution.w), strict=True))
+        return dict(zip(self.features, total_order(self.layout, self.weights), strict=True))
 
     def components(self, covariance: str | None = None) -> DataFrame:
-        """The spectrum with intervals: classical sigma^2 A^-1 C A^-1, or HC0 / HC3 by one more pass."""
+        """The spectrum with intervals: classical sigma^2 A^-1 C A^-1, or HC0 / HC3 by one more pass. With a noise part the
+        weighted coefficients and their posterior covariance, the inverse of the weighted normal matrix."""
         s = self.solution
-        if covariance:
+        if self.noise:
+            cov = self.hetero.solution.inverse
+        elif covariance:
             cov = sandwich(self.rows, self.layout, self.target, s.w, self.f0, s.inverse, covariance)
         else:
             cov = s.sigma2 * s.inverse @ self.stats.c @ s.inverse
-        found = share_intervals(self.layout, s.w, cov, s.df_residual, self.config.level)
-        return components_table(self.rows.sparkSession, self.layout, s.w, intervals=found)
+        found = share_intervals(self.layout, self.weights, cov, s.df_residual, self.config.level)
+        return components_table(self.rows.sparkSession, self.layout, self.weights, residual_variance=self.residual_variance(), intervals=found)
 
     def diagnostics(self) -> DataFrame:
         s = self.solution
@@ -133,20 +173,22 @@ class Result:
         return self.quantiles.apply(df) if self.quantiles else df
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``df``'s features mapped, with prediction, noise and interval bounds."""
+        """``df``'s features mapped, with prediction, noise and interval bounds. A complement moves prediction and bounds by
+        its own value; the noise is then what both leave, or the noise part's."""
         rows = self.transform(df)
-        s = self.solution
-        if self.complement is not None:
-            from varlens.operators.rows import _map_rows
-
-            w = self.complement.joint_w  # the closure must not hold the result and its session
-            rows = _map_rows(rows, self.complement.joint, {"complement": lambda j, _: j @ w})
-            return rows.withColumn("prediction", F.col("complement") + self.f0).drop("complement")
-        part = self.hetero.variance if self.hetero else None
+        s, part, extra = self.solution, self.noise, self.complement
         lv = (part.layout, part.w, part.h0) if part else None
-        w, f0 = (self.hetero.w, self.hetero.f0) if part else (s.w, self.f0)
-        inv = self.hetero.solution.inverse if part else s.inverse
-        return intervals(rows, self.layout, w, f0, inv, s.sigma2, s.df_residual, self.config.level, lv)
+        f0, inv = (self.hetero.f0, self.hetero.solution.inverse) if part else (self.f0, s.inverse)
+        sigma2, left = s.sigma2, s.df_residual
+        if extra is not None:
+            left = max(left - extra.df, 1.0)
+            sigma2 = extra.mse * s.n / left
+        out = intervals(rows, self.layout, self.weights, f0, inv, sigma2, left, self.config.level, lv)
+        if extra is None:
+            return out
+        w = np.concatenate([-extra.projection @ extra.v, extra.v])  # the closure must not hold the result and its session
+        out = _map_rows(out, extra.joint, {"_more": lambda j, _: j @ w})
+        return out.withColumns({c: F.col(c) + F.col("_more") for c in ("prediction", "lo", "hi")}).drop("_more")
 
 
 def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform: bool = False, split: str | None = None, fold: str | None = None, **options) -> Result:

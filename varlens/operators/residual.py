@@ -124,6 +124,9 @@ class Complement:
     projection: np.ndarray
     v: np.ndarray
     joint_w: np.ndarray
+    #: Mean square of what design and complement leave, and the complement's degrees of freedom.
+    mse: float = 0.0
+    df: float = 0.0
 
     def batch(self, x: np.ndarray) -> np.ndarray:
         """The residual part at new rows: (z - phi P) v."""
@@ -147,8 +150,20 @@ def fit_complement(df: DataFrame, layout: Layout, extra: Features, target: str,
     zz = z - p.T @ cross - cross.T @ p + p.T @ c @ p
     b = s.b[f:] - p.T @ s.b[:f]
     b = b - (cross - c @ p).T @ w
-    v = np.linalg.solve(zz + lam * np.eye(extra.size), b)
-    return Complement(joint, p, v, np.concatenate([w - p @ v, v]))
+    inverse = np.linalg.inv(zz + lam * np.eye(extra.size))
+    v = inverse @ b
+    joint_w = np.concatenate([w - p @ v, v])
+    return Complement(joint, p, v, joint_w, max(s.rss(joint_w), 0.0) / max(s.n, 1.0), float(np.trace(inverse @ zz)))
+
+
+def complement_variance(complement: Complement, df: DataFrame | None = None, points: int = 4096) -> float:
+    """The complement's variance: over the rows of ``df`` (one pass), or without it under the uniform measure, at ``points`` Halton points."""
+    lay = complement.joint.layout
+    if df is None:
+        return float(np.var(complement.batch(halton(points, len(lay.features)))))
+    s = stats_pass(df.withColumn("_zero", F.lit(0.0)), complement.joint, "_zero")[None]
+    u = np.concatenate([-complement.projection @ complement.v, complement.v])
+    return max(float(u @ s.c @ u) / max(s.n, 1.0) - (float(s.s @ u) / max(s.n, 1.0)) ** 2, 0.0)
 
 
 def redecompose(complement: Complement, n: int = 50_000) -> tuple[np.ndarray, np.ndarray]:

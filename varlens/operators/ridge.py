@@ -178,3 +178,11 @@ def order_shapes(layout, strategy="variance") -> list[np.ndarray]:
         keep = np.concatenate([np.full(t.size, float(t.order == o)) for t in layout.terms])
         out.append(unit * keep)
     return out
+
+
+def path_shares(stats: Stats, layout, shape: np.ndarray, lams) -> list[dict]:
+    """Every term's share at every lambda * shape, from one eigendecomposition."""
+    from varlens.operators.sensitivity import shares
+
+    found = EigenPath(stats, shape)
+    return [{"lambda": float(lam), "term": s["term"], "vars": s["vars"], "variance": s["variance"], "share": s["share_core"]} for lam in lams for s in shares(layout, found.weights(lam))]

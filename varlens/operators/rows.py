@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varlens.functions.numeric import normal_quantile, t_quantile
-from varlens.operators.stats import Stats
+from varlens.operators.stats import Stats, row_sums
 from varlens.plans.layout import Layout
 from varlens.session import ship
 
@@ -67,25 +67,18 @@ def debiased(r2: Column, leverage: Column) -> Column:
 
 
 def sandwich(df: DataFrame, layout: Layout, target: str, w: np.ndarray, f0: float, inverse: np.ndarray, kind: str = "HC3", weight: str | None = None) -> np.ndarray:
-    """A^-1 (sum phi phi' (w r / (1 - h))^2) A^-1, h = 0 for HC0; one pass that leaves a matrix for each partition."""
-    ship(df.sparkSession)
+    """A^-1 (sum phi phi' (w r / (1 - h))^2) A^-1, h = 0 for HC0; one pass."""
     f = layout.size
     used = df.select(F.col(target).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(layout.features)])
 
-    def run(batches):
-        meat = np.zeros((f, f))
-        for batch in batches:
-            if batch.num_rows:
-                phi = layout.batch(np.stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(layout.features))], axis=1))
-                y, wt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
-                h = np.clip(wt * ((phi @ inverse) * phi).sum(axis=1), 0, 1 - 1e-10) if kind == "HC3" else 0.0
-                u = phi * (wt * (y - f0 - phi @ w) / (1 - h))[:, None]
-                meat += u.T @ u
-        yield pa.record_batch({"m": pa.array([meat.tobytes()], pa.binary())})
-
-    meat = np.zeros((f, f))
-    for r in used.mapInArrow(run, "m binary").toLocalIterator():  # one matrix at a time
-        meat += np.frombuffer(r["m"], float).reshape(f, f)
+    def run(batch):
+        phi = layout.batch(np.stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(layout.features))], axis=1))
+        y, wt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
+        h = np.clip(wt * ((phi @ inverse) * phi).sum(axis=1), 0, 1 - 1e-10) if kind == "HC3" else 0.0
+        u = phi * (wt * (y - f0 - phi @ w) / (1 - h))[:, None]
+        return (u.T @ u).ravel()
+
+    meat = row_sums(used, run, f * f).reshape(f, f)
     return inverse @ meat @ inverse
 
 

@@ -5,8 +5,7 @@ add and subtract, so folds, held-out sets and groups come from the same scan.
 
 Two physical forms. Small designs are plain Catalyst sums, whole-stage compiled, combined map-side.
 Larger ones are built inside Arrow batches with NumPy and leave each partition as one packed row per key,
-which a second step adds up in about sqrt(partitions) groups, so that neither the shuffle nor the
-driver sees more than that many matrices.
+which ``summed`` adds up in a tree, so that the driver sees one matrix for each key.
 """
 
 from __future__ import annotations
@@ -72,8 +71,7 @@ class Stats:
         return np.concatenate([[self.n, self.sw, self.sy, self.yy], self.s, self.b, self.c[up]]).tobytes()
 
     @classmethod
-    def unpack(cls, data: bytes, f: int) -> Stats:
-        v = np.frombuffer(data, float)
+    def unpack(cls, v: np.ndarray, f: int) -> Stats:
         c = np.zeros((f, f))
         up = np.triu_indices(f)
         c[up] = v[4 + 2 * f :]
@@ -104,6 +102,50 @@ def _sums(df: DataFrame, layout: Layout, target: str, weight: str | None, by: st
     return out
 
 
+def summed(parts: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of packed vectors by key, from (key string, part int, v binary) rows, one or few for each partition.
+
+    All partitions work side by side; about the root of their number of groups add up first, then one task for each key,
+    so a single vector per key reaches the driver.
+    """
+
+    def merge(batches):
+        sums: dict = {}
+        for batch in batches:
+            for k, data in zip(batch.column("key").to_pylist(), batch.column("v"), strict=True):
+                v = np.frombuffer(data.as_buffer(), float)
+                sums[k] = sums[k] + v if k in sums else v
+        for n, (k, v) in enumerate(sums.items()):
+            yield pa.record_batch({"key": pa.array([k]), "part": pa.array([n], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    schema = "key string, part int, v binary"
+    groups = max(1, int(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    first = parts.repartition(groups, "key", F.pmod(F.col("part"), F.lit(groups))).mapInArrow(merge, schema)
+    last = first.repartition(max(1, groups // 2), "key").mapInArrow(merge, schema)
+    return {r["key"]: np.frombuffer(r["v"], float) for r in last.collect()}
+
+
+def packed_rows(run, size: int):
+    """A mapInArrow function that leaves the sum of run(batch), a vector of ``size``, as one row for ``summed``."""
+
+    def of_partition(batches):
+        from pyspark import TaskContext
+
+        out = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                out += run(batch)
+        yield pa.record_batch({"key": pa.array([""]), "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "v": pa.array([out.tobytes()], pa.binary())})
+
+    return of_partition
+
+
+def row_sums(rows: DataFrame, run, size: int) -> np.ndarray:
+    """The sum over all Arrow batches of run(batch), in one job over all partitions."""
+    ship(rows.sparkSession)
+    return summed(rows.mapInArrow(packed_rows(run, size), "key string, part int, v binary")).get("", np.zeros(size))
+
+
 def stats_pass(df: DataFrame, layout: Layout, target: str, weight: str | None = None, by: str | None = None, small: int = SMALL) -> dict:
     """Statistics by the values of ``by`` (key None without it). Rows with a null or NaN in a used column must be gone."""
     f = layout.size
@@ -133,27 +175,12 @@ def stats_pass(df: DataFrame, layout: Layout, target: str, weight: str | None =
                 got = of_batch(phi[at], y[at], w[at] if weight else None)
                 sums[k] = sums[k] + got if k in sums else got
         for k, v in sums.items():
-            yield pa.record_batch({"key": pa.array([k]), "part": pa.array([part], pa.int32()), "stats": pa.array([v.pack()], pa.binary())})
-
-    def merge(batches):
-        sums = {}
-        for batch in batches:
-            for k, data in zip(batch.column("key").to_pylist(), batch.column("stats").to_pylist(), strict=True):
-                v = np.frombuffer(data, float)
-                sums[k] = sums[k] + v if k in sums else v
-        for k, v in sums.items():
-            yield pa.record_batch({"key": pa.array([k]), "stats": pa.array([v.tobytes()], pa.binary())})
+            yield pa.record_batch({"key": pa.array([k]), "part": pa.array([part], pa.int32()), "v": pa.array([v.pack()], pa.binary())})
 
-    parts = rows.mapInArrow(partial, "key string, part int, stats binary")
-    groups = max(1, int(df.rdd.getNumPartitions() ** 0.5)) if not by else max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    merged = parts.repartition(groups, "key", F.pmod(F.col("part"), F.lit(groups))).select("key", "stats").mapInArrow(merge, "key string, stats binary")
-    out: dict = {}
     kind = dict(df.dtypes).get(by, "string") if by else None
     back = int if kind in ("int", "bigint", "smallint", "tinyint") else str
-    for r in merged.toLocalIterator():
-        k = None if not by or r["key"] == "\0" else back(r["key"])
-        got = Stats.unpack(r["stats"], f)
-        out[k] = out[k] + got if k in out else got
+    got = summed(rows.mapInArrow(partial, "key string, part int, v binary"))
+    out = {None if not by or k == "\0" else back(k): Stats.unpack(v, f) for k, v in got.items()}
     return out or {None: Stats.zero(f)}
 
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +13,8 @@ from varlens.functions.numeric import minimise_scalar
 from varlens.operators.ridge import solve
 from varlens.operators.rows import _map_rows
 from varlens.operators.sensitivity import block_variances
-from varlens.operators.stats import Stats, stats_pass
+from varlens.operators.stats import Stats, row_sums, stats_pass
 from varlens.plans.layout import Layout
-from varlens.session import ship
 
 
 def additivity_shares(stats: Stats, layout: Layout, strategy: str = "variance", target: float = 1.0) -> dict:
@@ -59,27 +57,23 @@ def structure_test(df: DataFrame, layout: Layout, target: str, lam, strategy: st
         f = solve(c.take(at), r[at])
         fits.append((at, f.w, f.inverse))
     mean, f_count = s.mean, len(fits)
-    ship(df.sparkSession)
     rows = df.select(F.col(target).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(wide.features)])
 
-    def run(batches):
+    def run(b):
         out = np.zeros((f_count, 3))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            phi = wide.batch(np.stack([b.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(wide.features))], axis=1))
-            y = b.column("_y").to_numpy(zero_copy_only=False) - mean
-            base = None
-            for i, (at, w, inverse) in enumerate(fits):
-                p = phi[:, at]
-                h = np.clip(((p @ inverse) * p).sum(axis=1), 0, 1 - 1e-10)
-                loss = ((y - p @ w) / (1 - h)) ** 2
-                base = loss if base is None else base
-                d = loss - base
-                out[i] += (len(y), d.sum(), (d * d).sum())
-        yield pa.record_batch({"v": pa.array([out.tobytes()], pa.binary())})
-
-    sums = sum((np.frombuffer(x["v"], float).reshape(f_count, 3) for x in rows.mapInArrow(run, "v binary").toLocalIterator()), np.zeros((f_count, 3)))
+        phi = wide.batch(np.stack([b.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(wide.features))], axis=1))
+        y = b.column("_y").to_numpy(zero_copy_only=False) - mean
+        base = None
+        for i, (at, w, inverse) in enumerate(fits):
+            p = phi[:, at]
+            h = np.clip(((p @ inverse) * p).sum(axis=1), 0, 1 - 1e-10)
+            loss = ((y - p @ w) / (1 - h)) ** 2
+            base = loss if base is None else base
+            d = loss - base
+            out[i] = (len(y), d.sum(), (d * d).sum())
+        return out.ravel()
+
+    sums = row_sums(rows, run, 3 * f_count).reshape(f_count, 3)
     out = []
     for (name, (m, a, b)) in list(zip(every, sums, strict=True))[1:]:
         change = a / m
@@ -88,18 +82,35 @@ def structure_test(df: DataFrame, layout: Layout, target: str, lam, strategy: st
 
 
 def exact_loo(df: DataFrame, layout: Layout, target: str, r: np.ndarray, key: str) -> DataFrame:
-    """key and the negative log-likelihood of each row under a refit without it (mean, weights and noise): for small tables,
-    since every row's statistics are subtracted and solved again."""
+    """key and the negative log-likelihood of each row under a refit without it (mean, weights and noise).
+
+    One statistics pass, then a row map: a row's statistics are taken off and the inverse is brought up to date by a
+    rank-one step, a batch at a time.
+    """
     s = stats_pass(df, layout, target)[None]
+    inv = np.linalg.inv(s.c + np.diag(r))
+    f = layout.size
+    br = inv * r  # inverse times the penalty
+    tr1, tr2 = float(np.trace(br)), float((br * br.T).sum())
 
     def row(phi, e):
-        out = np.empty(len(phi))
-        for i, (p, y) in enumerate(zip(phi, e[target], strict=True)):
-            less = Stats(s.n - 1, s.sw - 1, s.sy - y, s.yy - y * y, s.s - p, s.b - p * y, s.c - np.outer(p, p))
-            f = solve(less.centred(), r)
-            d = y - less.mean - p @ f.w
-            out[i] = 0.5 * math.log(2 * math.pi * f.sigma2) + d * d / (2 * f.sigma2)
-        return out
+        y, n = e[target], s.n - 1
+        mean = (s.sy - y) / n
+        b = s.b - phi * y[:, None] - mean[:, None] * (s.s - phi)
+        yy = s.yy - y * y - n * mean * mean
+        q = phi @ inv
+        left = 1 / (1 - np.clip((q * phi).sum(axis=1), 0, 1 - 1e-10))
+        w = b @ inv
+        w += q * ((phi * w).sum(axis=1) * left)[:, None]
+        qrq = (q * q * r).sum(axis=1) * left
+        trace = tr1 + qrq
+        square = tr2 + 2 * ((q * r) @ inv * (q * r)).sum(axis=1) * left + qrq**2
+        df_, tr_h2 = f - trace, f - 2 * trace + square
+        p = (phi * w).sum(axis=1)
+        rss = yy - 2 * (w * b).sum(axis=1) + ((w @ s.c) * w).sum(axis=1) - p * p
+        sigma2 = rss / np.maximum(n - 2 * df_ + tr_h2, 1.0)
+        d = y - mean - p
+        return 0.5 * np.log(2 * np.pi * sigma2) + d * d / (2 * sigma2)
 
     return _map_rows(df.select(key, target, *layout.features), layout, {"loo_nll": row}, (target,)).select(key, "loo_nll")
 

@@ -11,34 +11,28 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varlens.operators.ridge import Solution, solve
 from varlens.operators.rows import debiased, leverage_rows, linear, predict
-from varlens.operators.stats import stats_pass
+from varlens.operators.stats import row_sums, stats_pass
 from varlens.plans.layout import Layout
-from varlens.session import Scratch, ship
+from varlens.session import Scratch
 
 BOUND = 30.0
 STEPS = 0.5 ** np.arange(11)
 
 
 def _sum_rows(df: DataFrame, layout: Layout, r2: str, f, size: int) -> np.ndarray:
-    """The sum over rows of f(psi, r2), a vector of ``size``; one packed row leaves each partition."""
-    ship(df.sparkSession)
+    """The sum over rows of f(psi, r2), a vector of ``size``."""
     used = df.select(F.col(r2).cast("double").alias("_r"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(layout.features)])
 
-    def run(batches):
-        out = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(layout.features))], axis=1)
-                out += f(layout.batch(x), batch.column("_r").to_numpy(zero_copy_only=False))
-        yield pa.record_batch({"v": pa.array([out.tobytes()], pa.binary())})
+    def run(batch):
+        x = np.stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(layout.features))], axis=1)
+        return f(layout.batch(x), batch.column("_r").to_numpy(zero_copy_only=False))
 
-    return sum((np.frombuffer(r["v"], float) for r in used.mapInArrow(run, "v binary").toLocalIterator()), np.zeros(size))
+    return row_sums(used, run, size)
 
 
 @dataclass

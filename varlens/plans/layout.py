@@ -36,6 +36,8 @@ class Term:
 
     vars: tuple[int, ...]
     specs: tuple[Spec, ...]
+    #: Of a layout with a basis for each variable.
+    mixed: bool = False
 
     @property
     def size(self) -> int:
@@ -49,13 +51,13 @@ class Term:
         return reduce(np.kron, [gram(s.k, s.basis, s.linear) for s in self.specs])
 
     def penalty(self, lam: float, strategy: str) -> np.ndarray:
-        """Products of Gram diagonals for ``variance`` in terms of one basis, else sums over the variables, with a floor."""
+        """Products of Gram diagonals for ``variance`` and lam for ``uniform``, else and in mixed layouts sums over the variables, with a floor."""
         if self.order == 1:
             s = self.specs[0]
             return penalty(s.k, lam, strategy, s.basis, s.linear)
-        if strategy == "uniform" and len(set(self.specs)) == 1:
+        if strategy == "uniform" and not self.mixed:
             return np.full(self.size, lam)
-        if strategy == "variance" and len(set(self.specs)) == 1:
+        if strategy == "variance" and not self.mixed:
             return lam * np.diag(self.gram())
         parts = [penalty(s.k, lam, strategy, s.basis, s.linear, order=self.order) for s in self.specs]
         return np.maximum(reduce(np.add.outer, parts).ravel(), lam * 1e-6)
@@ -84,7 +86,7 @@ class Layout:
                 k = (per_pair or {}).get((i, j), k2)
                 specs = (Spec(k, basis, linear),) * 2 if per_variable is None else (own[i], own[j])
                 if k:
-                    terms.append(Term((i, j), specs))
+                    terms.append(Term((i, j), specs, per_variable is not None))
         if k3:
             for t in combinations(range(d), 3) if triples is None else sorted(tuple(sorted(t)) for t in triples):
                 terms.append(Term(t, (Spec(k3, basis, linear),) * 3))

@@ -398,8 +398,7 @@ m AS (SELECT i, sum(a) AS a, sum(b) AS b FROM d GROUP BY i), g AS (SELECT sum(a)
 u AS (SELECT d.a - (p.a + q.a) / (n - 2) + g.a / ((n - 1) * (n - 2)) AS a, d.b - (p.b + q.b) / (n - 2) + g.b / ((n - 1) * (n - 2)) AS b FROM d JOIN m p ON p.i = d.i JOIN m q ON q.i = d.j, g, n WHERE d.i <> d.j)
 SELECT {R('sum(a * b) / sqrt(sum(a * a) * sum(b * b))')} AS dcor FROM u""")
 def distance_correlation(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal").toPandas()
-    return make(spark, [(round(diagnostics.distance_correlation(s["s_nationkey"].to_numpy(), s["s_acctbal"].to_numpy()), 6),)], "dcor double")
+    return make(spark, [(round(diagnostics.pair_dependence(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal"), 6),)], "dcor double")
 
 
 @query(f"WITH g AS (SELECT var_pop(l_extendedprice) AS v, count(*) AS n FROM lineitem GROUP BY l_quantity, l_discount, l_tax) SELECT {R('sum(v * n) FILTER (WHERE n > 1) / sum(n - 1) FILTER (WHERE n > 1)', 2)} AS sigma2, count(*) FILTER (WHERE n > 1) AS groups, CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS rows, count(*) FILTER (WHERE n > 1) >= 5 AND sum(n) FILTER (WHERE n > 1) >= 0.05 * sum(n) AS usable FROM g")
@@ -408,7 +407,7 @@ def replicate_variance(spark, sf_dir):
 
 
 @query(f"""WITH m AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier), p AS (SELECT s_suppkey AS k, (s_acctbal - m) / s AS z, CAST(s_nationkey AS DOUBLE) AS y FROM supplier, m),
-d AS (SELECT a.k, min({{'d': pow(a.z - b.z, 2), 'k': b.k, 'e': a.y - b.y}}) AS n FROM p a JOIN p b ON a.k <> b.k AND abs(floor(a.z) - floor(b.z)) <= 1 GROUP BY a.k) SELECT {R('avg(pow(n.e, 2)) / 2')} AS sigma2, count(*) AS rows FROM d""")
+d AS (SELECT a.k, min({{'d': pow(a.z - b.z, 2), 'k': b.k, 'e': a.y - b.y}}) AS n FROM p a JOIN p b ON a.k <> b.k GROUP BY a.k) SELECT {R('avg(pow(n.e, 2)) / 2')} AS sigma2, count(*) AS rows FROM d""")
 def neighbour_variance(spark, sf_dir):
     return tidy(diagnostics.neighbour_noise(table(spark, sf_dir, "supplier"), ["s_acctbal"], "s_nationkey", "s_suppkey", cells=4))
 
@@ -713,7 +712,9 @@ def loo_nll_rows(spark, sf_dir):
     return d.select("k", rd(F.lit(0.5 * math.log(2 * math.pi * s2)) + F.col("loo_residual") ** 2 / (2 * s2), 3).alias("loo_nll"))
 
 
-@query()
+@query(f"""WITH {P}, a AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y * y) AS yy, sum(2 * x1 - 1) AS s, sum(pow(2 * x1 - 1, 2)) AS c, sum((2 * x1 - 1) * y) AS b FROM p),
+dl AS (SELECT k, y, 2 * x1 - 1 AS f, n - 1 AS n, (sy - y) / (n - 1) AS m, c - pow(2 * x1 - 1, 2) AS c, b - (2 * x1 - 1) * y - (sy - y) / (n - 1) * (s - (2 * x1 - 1)) AS b, yy - y * y - pow(sy - y, 2) / (n - 1) AS yy FROM p, a),
+w AS (SELECT k, y - m - b / (c + 2) * f AS e, (yy - 2 * b * b / (c + 2) + c * pow(b / (c + 2), 2)) / (n - 2 * c / (c + 2) + pow(c / (c + 2), 2)) AS s2 FROM dl) SELECT k, {R('0.5 * ln(2 * pi() * s2) + e * e / (2 * s2)', 4)} AS loo_nll FROM w""")
 def exact_loo(spark, sf_dir):
     from varlens.operators.structure import exact_loo as loo
 

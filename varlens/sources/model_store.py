@@ -42,7 +42,7 @@ def save(spark: SparkSession, model: Model, path: str, penalty: np.ndarray | Non
     """Write ``path``/coefficients, /inverse, /meta and, if there are any, /quantiles. An existing path is an error by default."""
     mode = "overwrite" if overwrite else "errorifexists"
     r = np.zeros_like(model.w) if penalty is None else penalty
-    meta = {"features": list(model.layout.features), "terms": [{"vars": list(t.vars), "specs": [asdict(s) for s in t.specs]} for t in model.layout.terms], "f0": model.f0, "sigma2": model.sigma2, "df_residual": model.df_residual, "target": model.target, "format": 1}
+    meta = {"features": list(model.layout.features), "terms": [{"vars": list(t.vars), "specs": [asdict(s) for s in t.specs], "mixed": t.mixed} for t in model.layout.terms], "f0": model.f0, "sigma2": model.sigma2, "df_residual": model.df_residual, "target": model.target, "format": 1}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
     spark.createDataFrame([(i, float(x), float(p)) for i, (x, p) in enumerate(zip(model.w, r, strict=True))], "column int, w double, penalty double").write.mode(mode).parquet(f"{path}/columns")
     coefficients_table(spark, model.layout, model.w, r).write.mode(mode).parquet(f"{path}/coefficients")
@@ -54,7 +54,7 @@ def save(spark: SparkSession, model: Model, path: str, penalty: np.ndarray | Non
 
 def load(spark: SparkSession, path: str) -> Model:
     meta = json.loads(spark.read.parquet(f"{path}/meta").head()[0])
-    terms = tuple(Term(tuple(t["vars"]), tuple(Spec(**s) for s in t["specs"])) for t in meta["terms"])
+    terms = tuple(Term(tuple(t["vars"]), tuple(Spec(**s) for s in t["specs"]), t.get("mixed", False)) for t in meta["terms"])
     layout = Layout(tuple(meta["features"]), terms)
     w = np.array([r["w"] for r in spark.read.parquet(f"{path}/columns").orderBy("column").collect()])  # a model's size, not the data's
     inverse = np.array([r["row"] for r in spark.read.parquet(f"{path}/inverse").orderBy("i").collect()])
