@@ -140,12 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 60
 
     seen = ids.select("_id").distinct()
     got = docs.join(F.broadcast(seen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary")
+    got = got.groupBy("doc_id").agg(F.min("x").alias("x"))  # rows that share an id: one of them, whatever the order
     place: dict[int, int] = {}
     x = np.empty((len(sample), WIDTH), np.float16)
-    for r in got.collect():  # as many as were sampled, at most
-        if r["doc_id"] not in place and len(place) < len(x):
-            x[len(place)] = np.frombuffer(r["x"], np.float16)
-            place[r["doc_id"]] = len(place)
+    for r in got.collect():  # as many as ids were sampled, at most
+        x[len(place)] = np.frombuffer(r["x"], np.float16)
+        place[r["doc_id"]] = len(place)
     rows = [[(place[i], q) for i, part, q in sorted(sample) if part == k and i in place] for k in range(3)]
     if not rows[0] or not rows[1]:
         return None, prior, 0.0

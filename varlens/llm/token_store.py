@@ -28,14 +28,16 @@ from varlens.llm.tokens import default_path, encode_documents, encoder_of
 from varlens.session import Scratch, ship
 
 ROWS_A_BATCH = 256
-INDEX = "doc_id long, file string, shard int, local long, n_tokens long"
+#: A file ends with the run of texts that brings it to this many ids, so that none grows with the data.
+IDS_A_FILE = 1 << 25
+INDEX = "doc_id long, file string, shard long, local long, n_tokens long"
 
 
 def schema_of(row: int, kind) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), row)), ("mask", pa.list_(pa.bool_(), row))])
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, row: int = 2048, shards: int = 32) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, row: int = 2048, shards: int = 32, most: int = IDS_A_FILE) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``folder``; returns the index."""
 
     def write(batches):
@@ -45,10 +47,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         kind = np.uint16 if encoder_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         schema = schema_of(row, kind)
         task = TaskContext.get()
-        target = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
-        fs, path = pyarrow.fs.FileSystem.from_uri(target)
-        writer = sink = None
-        rest, before = np.zeros(0, kind), 0
+        writer = sink = target = None
+        rest, before, part = np.zeros(0, kind), 0, 0
 
         def put(ids, real):
             ids_list = pa.FixedSizeListArray.from_arrays(pa.array(ids), row)
@@ -59,6 +59,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         try:
             for doc_ids, ids, starts, lengths in encode_documents(batches, tokenizer, end_id):
                 if writer is None:
+                    target = f"{folder}/shard-{task.partitionId():06d}-{part:06d}-{task.taskAttemptId()}.arrow"
+                    fs, path = pyarrow.fs.FileSystem.from_uri(target)
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     sink = fs.open_output_stream(path, compression=None)
                     writer = pa.ipc.new_stream(sink, schema)
@@ -68,8 +70,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                     put(rest[a : a + unit], unit)
                 rest = rest[len(rest) // unit * unit :].copy()
                 n = len(lengths)
-                yield pa.record_batch({"doc_id": doc_ids, "file": pa.array([target] * n), "shard": pa.array(np.full(n, task.partitionId(), np.int32)), "local": pa.array(before + starts), "n_tokens": pa.array(lengths)})
+                yield pa.record_batch({"doc_id": doc_ids, "file": pa.array([target] * n), "shard": pa.array(np.full(n, (task.partitionId() << 32) + part, np.int64)), "local": pa.array(before + starts), "n_tokens": pa.array(lengths)})
                 before += len(ids)
+                if before >= most:  # the next run of texts begins a file
+                    if len(rest):
+                        put(np.concatenate([rest, np.zeros(-len(rest) % row, kind)]), len(rest))
+                    writer.close()
+                    sink.close()
+                    writer, rest, before, part = None, np.zeros(0, kind), 0, part + 1
             if len(rest):
                 put(np.concatenate([rest, np.zeros(-len(rest) % row, kind)]), len(rest))
         finally:
@@ -84,7 +92,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
 
 class ShardReader:
-    """Random access to one shard file: mapped where local, otherwise read as one bounded buffer."""
+    """Random access to one file: mapped where local, otherwise read whole, at most about IDS_A_FILE ids and one run of texts."""
 
     def __init__(self, uri: str):
         import pyarrow.fs
@@ -134,9 +142,9 @@ def read_back(index: DataFrame) -> DataFrame:
     return placed.select("doc_id", "file", "local", "start", "n_tokens").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
-def store_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, row: int = 2048, shards: int | None = None) -> DataFrame:
+def store_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, row: int = 2048, shards: int | None = None, most: int = IDS_A_FILE) -> DataFrame:
     """Write the token files of ``docs`` and read every document back from them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    index = write_shards(docs, scratch.path + "/files", tokenizer or default_path(), end_id, row, shards or partitions(spark))
+    index = write_shards(docs, scratch.path + "/files", tokenizer or default_path(), end_id, row, shards or partitions(spark), most)
     return read_back(scratch.save(index, "index"))
