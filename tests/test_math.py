@@ -151,6 +151,16 @@ def test_sparse_solvers():
     assert np.abs(w[3:]).max() == 0
     folds = {k: of_batch(phi[k::5], y[k::5]) for k in range(5)}
     assert 0 in selection.by_one_se(folds, np.ones(9), blocks)["active"]
+    # The rule keeps a block above its noise level sigma^2 B / n, which an inactive one exceeds as chi^2 with 3 degrees exceeds 3: 39 %.
+    kept = []
+    for seed in range(60):
+        r = np.random.default_rng(seed)
+        phi = r.normal(size=(200, 9))
+        y = phi[:, :3] @ [2, -1, 1] + 0.1 * r.normal(size=200)
+        on = selection.by_one_se({k: of_batch(phi[k::5], y[k::5]) for k in range(5)}, np.ones(9), blocks)["active"]
+        assert 0 in on
+        kept += [1 in on, 2 in on]
+    assert abs(np.mean(kept) - 0.39) < 0.15
     assert selection.active_variables({0: 0.9, 1: 0.05, 2: 0.001}, 0.01) == [0, 1]
 
 
