@@ -267,9 +267,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     rows = scratch.save(keyed.mapInArrow(_sketch(width), "doc_id long, row long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
 
     stand_in = F.lit(NO_ID_FROM) + F.shiftright(F.abs(F.xxhash64("digest")), 2)
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low")).select("digest", F.coalesce("low", stand_in).alias("node"), F.col("low").isNull().alias("_no"))
-    own = rows.join(nodes, "digest").filter("doc_id = node or _no").select("node", "digest", "n_shingles", "sig", "bands").dropDuplicates(["digest"])
-    classes = scratch.save(own, "classes")
+    # Rows of a class have one set, so any of them gives its sketch; hot classes are combined map-side.
+    own = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")], F.count("*").alias("copies"))
+    classes = scratch.save(own.select(F.coalesce("low", stand_in).alias("node"), "digest", "n_shingles", "sig", "bands", "copies"), "classes")
 
     banded = classes.select("node", F.explode("bands").alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
@@ -323,9 +323,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     more = scratch.save(blocks(with_sets).mapInArrow(_span(part, whole), "u long, v long").distinct(), "more-links")
     star = components(star.unionByName(more), scratch, "all-cc")
 
-    ids = classes.select("digest", "node").join(star.toDF("node", "_c"), "node", "left").select("digest", F.coalesce("_c", "node").alias("_c"))
+    ids = classes.select("digest", "node", "copies").join(star.toDF("node", "_c"), "node", "left").select("digest", "copies", F.coalesce("_c", "node").alias("_c"))
     ids = ids.withColumn("_group", F.col("_c")).withColumn("_c", F.when(F.col("_c") < NO_ID_FROM, F.col("_c"))).withColumn("_in", F.lit(True))
-    out = rows.select("doc_id", "row", "n_shingles", "digest").join(ids, "digest", "left")
+    ids = scratch.save(ids, "ids")
+    # Classes of over a thousandth of the rows, fewer than a thousand, are broadcast to their rows, the others shuffled.
+    hot = F.col("copies") * 1000 > rows.count()
+    many, few = ids.filter(hot).drop("copies"), ids.filter(~hot).drop("copies")
+    plain = rows.select("doc_id", "row", "n_shingles", "digest")
+    worded = plain.filter("n_shingles > 0")
+    out = worded.join(F.broadcast(many), "digest").unionByName(worded.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(few, "digest"))
+    out = out.unionByName(plain.filter("n_shingles = 0").select(*plain.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in ("_c", "_group", "_in")]))
     component = F.when(F.col("_in"), F.col("_c")).otherwise(F.col("doc_id"))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
     return out.select(*columns, *(["row", F.coalesce("_group", "doc_id").alias("group")] if row else []))
