@@ -99,8 +99,8 @@ def schedule_slots(spark, targets: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, block: int = 1024, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """Mix ``docs`` (needs doc_id, text, source).
 
-    Returns ``(documents, schedule)``. documents: doc_id, size, source_size, target, taken and the row's
-    key in the schedule. schedule: one row per piece of a document in a slot, ``slot, block, epoch, words``
+    Returns ``(documents, schedule)``. documents: doc_id, size, source_size, target, taken, the first slot that
+    takes some of it (null if none does) and the row's key in the schedule. schedule: one row per piece of a document in a slot, ``slot, block, epoch, words``
     with the same key; reading it by slot is reading the mix.
     """
     spark = docs.sparkSession
@@ -129,9 +129,9 @@ def mix(docs: DataFrame, block: int = 1024, cycle: tuple[int, ...] = (1, 2, 3),
         .withColumn("words", F.least(F.col("_hi"), (F.col("block") + 1) * block) - F.greatest(F.col("_lo"), F.col("block") * block))
     )
     schedule = schedule_slots(spark, targets, block).join(pieces.select(*EXTRA, "doc_id", "block", "epoch", "words", "_lo"), ["_mx_s", "block"])
-    taken = schedule.groupBy(*EXTRA).agg(F.sum("words").alias("taken"))
+    taken = schedule.groupBy(*EXTRA).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = rows.join(taken, EXTRA, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", *EXTRA), schedule
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", *EXTRA), schedule
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -62,7 +62,7 @@ def op8_lm_scores(spark, sf_dir):
 def op9_source_mixing(spark, sf_dir):
     from varlens.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op10_line_dedup(spark, sf_dir):
@@ -80,7 +80,8 @@ def oracle_sql():
     return {"op2_near_duplicates": OP2, "op3_search": OP3, "op9_source_mixing": OP9, "op10_line_dedup": OP10}
 
 
-#: A schedule with exactly one slot per block takes the first floor(target) words of each source's repeated stream.
+#: A schedule with exactly one slot per block takes the first floor(target) words of each source's repeated stream; the
+#: slots are the golden-ratio lattice, and a document's first one takes the block in which its first word lies.
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -92,12 +93,21 @@ f AS (SELECT *, row_number() OVER o AS i, sum(ss) OVER () - coalesce(sum(cap) OV
       FROM w WINDOW o AS (ORDER BY cap / wt, k)),
 g AS (SELECT *, min(CASE WHEN CAST(wt * rest AS DOUBLE) / wr <= cap THEN i END) OVER () AS i0 FROM f),
 t AS (SELECT g.*, CASE WHEN g.i < g.i0 THEN CAST(g.cap AS DOUBLE) ELSE CAST(g.wt * h.rest AS DOUBLE) / CAST(h.wr AS DOUBLE) END AS target FROM g JOIN g h ON h.i = h.i0),
-p AS (SELECT d.doc_id, d.size, t.ss, t.target, sum(d.size) OVER (PARTITION BY t.k ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS st
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, ss AS source_size, target,
+p AS (SELECT d.doc_id, d.size, t.k, t.ss, t.target, sum(d.size) OVER (PARTITION BY t.k ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS st
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+need AS (SELECT k, CAST(ceil(floor(target) / 1024) AS BIGINT) AS nb FROM t WHERE target >= 1),
+n AS (SELECT CAST(coalesce(sum(nb), 0) AS BIGINT) AS n FROM need),
+gc AS (SELECT d, z, CAST(round(n * (sqrt(5) - 1) / 2) AS BIGINT) + z * d AS c, n FROM n, (SELECT unnest(range(0, 1000)) AS d), (VALUES (1), (-1)) v(z)),
+gs AS (SELECT coalesce((SELECT c FROM gc WHERE n > 2 AND c > 0 AND c < n AND gcd(c, n) = 1 ORDER BY d, z DESC LIMIT 1), 1) AS g),
+sl AS (SELECT slot, slot * g % n AS pt FROM (SELECT unnest(range(0, n)) AS slot, n FROM n), gs),
+cu AS (SELECT k, sum(nb) OVER (ORDER BY k) - nb AS lo, sum(nb) OVER (ORDER BY k) AS hi FROM need),
+sb AS (SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS b FROM sl JOIN cu ON pt >= lo AND pt < hi),
+r AS (SELECT doc_id, size, k, ss, st, target,
        CAST(greatest(0, least(st + size, floor(target)) - st) + greatest(0, least(st + ss + size, floor(target)) - st - ss)
             + greatest(0, least(st + 2 * ss + size, floor(target)) - st - 2 * ss) AS BIGINT) AS taken
-FROM p
+FROM p)
+SELECT doc_id, size, ss AS source_size, target, taken, CAST(CASE WHEN taken > 0 THEN slot END AS BIGINT) AS first_slot
+FROM r LEFT JOIN sb ON sb.k = r.k AND sb.b = r.st // 1024
 """
 
 OP10 = r"""
