@@ -61,7 +61,7 @@ class _Known(dict):
 class Encoder:
     """One worker's tokenizer and part cache. ``special`` strings in a text are ordinary text."""
 
-    def __init__(self, path: str, cache: int = 450_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
