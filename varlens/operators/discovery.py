@@ -58,7 +58,7 @@ def block_stats(df: DataFrame, layouts: dict[str, Layout], target: str) -> dict[
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = used.mapInArrow(run, "k string, s binary").repartition(n, "k").mapInArrow(merge, "k string, s binary")
-    return {r["k"]: Stats.unpack(r["s"], layouts[r["k"]].size) for r in merged.collect()}  # a row per candidate
+    return {r["k"]: Stats.unpack(np.frombuffer(r["s"], float), layouts[r["k"]].size) for r in merged.collect()}  # a row per candidate
 
 
 def scan(df: DataFrame, features, residual: str, fitted=(), order: int = 2, k: int = 2, basis: str = "fourier", threshold: float = 1e-3, active=None, most: int | None = None) -> list[dict]:
