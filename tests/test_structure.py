@@ -92,6 +92,12 @@ def test_a_kept_noise_part_decides_shares_and_has_a_spectrum(design):
     assert f.noise is not None
     noise = {r["v1"]: r["share_core"] for r in f.noise_components().collect() if r["ord"] == 1}
     assert max(noise, key=noise.get) == 2 and sum(noise.values()) == pytest.approx(1)
+    one, two = f.loo(1), f.loo()
+    assert one["loo_cv"] == pytest.approx(two["loo_cv"]) and one["loo_nll"] < two["loo_nll"] < one["loo_nll"] + 0.1
+    with pytest.raises(ValueError, match="tier 2"):
+        f.loo(3)
+    with pytest.raises(ValueError, match="tier must"):
+        f.loo(4)
     assert np.array_equal(f.weights, f.hetero.w) and not np.array_equal(f.weights, f.solution.w)
     top = f.components().toPandas()
     assert top["variance"].sum() == pytest.approx(sum(s["variance"] for s in f.shares()))

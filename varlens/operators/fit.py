@@ -14,11 +14,12 @@ from varlens.operators import prepare
 from varlens.operators.diagnostics import next_stages, residual_correlations
 from varlens.operators.residual import Complement, Features, complement_variance, fit_complement, kmeans_centres
 from varlens.operators.ridge import Solution, best_lambdas, order_shapes, solve
-from varlens.operators.rows import _map_rows, intervals, predict, sandwich
+from varlens.operators.rows import _map_rows, intervals, leverage_rows, loo_summary, predict, sandwich
 from varlens.operators.selection import active_variables, by_bic, by_glasso, by_one_se
 from varlens.operators.sensitivity import block_variances, components_table, share_intervals, shares, total_order
 from varlens.operators.stats import Stats, stats_pass, total
-from varlens.operators.variance import Heteroscedastic, heteroscedastic
+from varlens.operators.structure import exact_loo
+from varlens.operators.variance import Heteroscedastic, heteroscedastic, one_step_loo
 from varlens.plans.layout import Layout, pairs_of, triples_of
 
 STRATEGIES = ("uniform", "variance", "smoothness", "curvature", "sobolev", "spectral")
@@ -169,6 +170,29 @@ class Result:
         row = (s.n, float(self.layout.size), s.df, s.tr_h2, s.sigma2, s.mse, s.gcv, s.aic, s.bic, s.evidence)
         return self.rows.sparkSession.createDataFrame([tuple(map(float, row))], "n double, columns double, df double, tr_h2 double, sigma2 double, mse double, gcv double, aic double, bic double, evidence double")
 
+    def loo(self, tier: int = 2) -> dict:
+        """Leave-one-out likelihood and mean square. With a noise part tier 1 holds it as it is and tier 2 moves it by one
+        Newton step for each row left out; without one they are the same. Tier 3 refits exactly, without a noise part only."""
+        if tier not in (1, 2, 3):
+            raise ValueError(f"tier must be 1, 2 or 3, not {tier!r}")
+        s, part, rows = self.solution, self.noise, self.rows
+        if part is None:
+            out = {"tier": tier, **loo_summary(leverage_rows(rows, self.layout, self.target, s.w, self.f0, s.inverse), s.sigma2)}
+            if tier == 3:
+                exact = exact_loo(rows.withColumn("_k", F.lit(0)), self.layout, self.target, self.penalty, "_k")
+                out["loo_nll"] = exact.agg(F.avg("loo_nll")).head()[0]
+            return out
+        if tier == 3:
+            raise ValueError("exact refits of a noise part are not offered: use tier 2")
+        h = self.hetero
+        rows = leverage_rows(rows.withColumn("_w", F.exp(-part.column())), self.layout, self.target, h.w, h.f0, h.solution.inverse, "_w")
+        if tier == 2:
+            rows = one_step_loo(rows, part.layout, part, "residual", "leverage")
+        else:
+            rows = rows.withColumn("loo_nll", 0.5 * (math.log(2 * math.pi) - F.log("_w") + F.col("_w") * F.col("loo_residual") ** 2))
+        got = rows.agg(F.avg(F.col("loo_residual") ** 2).alias("cv"), F.avg("loo_nll").alias("nll")).head()
+        return {"tier": tier, "loo_cv": got["cv"], "loo_nll": got["nll"]}
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.quantiles.apply(df) if self.quantiles else df
 

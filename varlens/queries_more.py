@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from varlens.operators import diagnostics, residual, ridge, selection, sensitivity, structure, variance
+from varlens.operators import diagnostics, discovery, residual, ridge, selection, sensitivity, structure, variance
 from varlens.operators.fit import fit
 from varlens.operators.stats import stats_pass
 from varlens.plans.layout import Layout
@@ -149,3 +149,28 @@ def structure_test_two(spark, sf_dir):
     lay = Layout.build(["x1", "x2"], 1, basis="legendre")
     got = structure.structure_test(planted(spark, sf_dir), lay, "y", 1e-3)
     return make(spark, [(r["vars"][0] + 1, round(r["loo_change"], 6), round(r["se"], 6)) for r in got], "v1 int, loo_change double, se double")
+
+
+@query(f"""WITH {S1}, r AS (SELECT 1e-3::DOUBLE / 3 AS r), t AS (SELECT n, c, b / (c + r) AS w, c / (c + r) AS df, yy - 2 * b * b / (c + r) + c * pow(b / (c + r), 2) AS rss, r FROM s, r),
+v AS (SELECT avg(pow((q.y - t.w * q.f) / (1 - q.f * q.f / (t.c + t.r)), 2)) AS cv, any_value(rss / (n - 2 * df + df * df)) AS s2 FROM q, t),
+a AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, sum(y * y) AS yy, sum(2 * x1 - 1) AS s, sum(pow(2 * x1 - 1, 2)) AS c, sum((2 * x1 - 1) * y) AS b FROM p),
+dl AS (SELECT y, 2 * x1 - 1 AS f, n - 1 AS n, (sy - y) / (n - 1) AS m, c - pow(2 * x1 - 1, 2) AS c, b - (2 * x1 - 1) * y - (sy - y) / (n - 1) * (s - (2 * x1 - 1)) AS b, yy - y * y - pow(sy - y, 2) / (n - 1) AS yy FROM p, a),
+w AS (SELECT y - m - b / (c + r) * f AS e, (yy - 2 * b * b / (c + r) + c * pow(b / (c + r), 2)) / (n - 2 * c / (c + r) + pow(c / (c + r), 2)) AS s2 FROM dl, r)
+SELECT 1 AS tier, {R('cv')} AS loo_cv, {R('0.5 * ln(s2) + cv / (2 * s2) + 0.5 * ln(2 * pi())')} AS loo_nll FROM v UNION ALL SELECT 3, (SELECT {R('cv')} FROM v), {R('avg(0.5 * ln(2 * pi() * s2) + e * e / (2 * s2))')} FROM w""")
+def loo_tiers(spark, sf_dir):
+    """A whole fit's leave-one-out scores: at the fit's noise, and by exact refits."""
+    f = fit(planted(spark, sf_dir).select("x1", "y"), "y", uniform=True, k1=1, k2=0, basis="legendre", stages=("A",))
+    out = [f.loo(1), f.loo(3)]
+    return make(spark, [(r["tier"], round(r["loo_cv"], 6), round(r["loo_nll"], 6)) for r in out], "tier int, loo_cv double, loo_nll double")
+
+
+_PAIRS = " UNION ALL ".join(f"SELECT {i} AS v1, {j} AS v2, (2 * x{i} - 1) * (2 * x{j} - 1) AS f, y - 3 * cos(2 * pi() * x1) - 2 * (x2 - 0.5) AS y FROM p" for i, j in ((1, 2), (1, 3), (2, 3)))
+
+
+@query(f"""WITH {P}, q AS ({_PAIRS}), s AS (SELECT v1, v2, count(*) AS n, sum(f * f) * (1 + 1e-8) AS c, sum(f * f) AS c0, sum(f) AS s, sum(f * y) AS b, var_pop(y) AS v FROM q GROUP BY v1, v2),
+z AS (SELECT v1, v2, greatest((pow(b / c, 2) * c0 / n - pow(b / c * s / n, 2)) / v - 1 / n::DOUBLE, 0) AS score FROM s) SELECT CAST(v1 AS INTEGER) AS v1, CAST(v2 AS INTEGER) AS v2, {R('score')} AS score, score > 1e-3 AS flagged FROM z""")
+def pair_scan_linear(spark, sf_dir):
+    """Scores of all pairs in one scan, by products of linear parts."""
+    d = planted(spark, sf_dir).withColumn("r", F.col("y") - 3 * F.cos(2 * math.pi * F.col("x1")) - 2 * (F.col("x2") - 0.5))
+    got = discovery.scan(d, ["x1", "x2", "x3"], "r", k=1, basis="legendre")
+    return make(spark, [(r["vars"][0] + 1, r["vars"][1] + 1, round(r["score"], 6), r["flagged"]) for r in got], "v1 int, v2 int, score double, flagged boolean")
