@@ -1,4 +1,4 @@
-"""The ten training-data queries, as (spark, sf_dir) -> DataFrame, and their SQL where SQL can say it."""
+"""The thirteen training-data queries, as (spark, sf_dir) -> DataFrame, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -72,12 +72,36 @@ def op10_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_whitening(spark, sf_dir):
+    from varlens.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    from varlens.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark, sf_dir):
+    from varlens.llm.lang_id import identify, references
+    from varlens.llm.quality import fold
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, references(docs, fold("doc_id", 4) != 2))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality, op2_near_duplicates, op3_search, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op8_lm_scores, op9_source_mixing, op10_line_dedup)}
+    return {
+        f.__name__: f
+        for f in (op1_quality, op2_near_duplicates, op3_search, op4_ogg_media, op5_packing, op6_token_files, op7_warc, op8_lm_scores, op9_source_mixing, op10_line_dedup, op11_whitening, op12_source_divergence, op13_language_id)
+    }
 
 
 def oracle_sql():
-    return {"op2_near_duplicates": OP2, "op3_search": OP3, "op9_source_mixing": OP9, "op10_line_dedup": OP10}
+    return {"op2_near_duplicates": OP2, "op3_search": OP3, "op9_source_mixing": OP9, "op10_line_dedup": OP10, "op12_source_divergence": OP12}
 
 
 #: A schedule with exactly one slot per block takes the first floor(target) words of each source's repeated stream; the
@@ -150,3 +174,23 @@ r AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * i.idf * d.tf * 2.2 / (d.
 k AS (SELECT query_id, doc_id, sc, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, doc_id) AS rank FROM r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(sc, 6) AS score FROM k WHERE rank <= 10
 """
+
+#: Every group against every kept term of its language, then every two sources of a language.
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+g AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // CAST(g.n + 5 * v.v AS HUGEINT) AS p,
+        1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // CAST(v.n + 5 * v.v AS HUGEINT) AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(0 AS HUGEINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      UNION ALL SELECT a.lang, a.source, 'pair', b.source, abs(a.p - b.p) FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, CAST(sum(value) AS BIGINT) AS value FROM s GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
