@@ -5,8 +5,7 @@ gives the longest match at a place. A text is cut greedily into phrases, each th
 byte that does not occur at all); c phrases against a reference of N bytes cost about ``c * log2(N)`` bits, and the language
 with the lowest cost, the fewest normalised phrases, wins. Language, source and id of a text are never looked at.
 
-Texts are read as UTF-8 bytes with A-Z lower-cased; digits count as one symbol, spaces and control characters as one, other
-ASCII marks as one. The score is how much cheaper the winner is than the second, ``1 - best / second``, 0 to 1.
+Texts are read as UTF-8 bytes with A-Z lower-cased; a run of ASCII bytes that are no letters counts as one space. The score is how much cheaper the winner is than the second, ``1 - best / second``, 0 to 1.
 
 Scale: references are whole labelled texts, ``reference_bytes`` for a language at most (and ``total_bytes`` over all, shared
 evenly), picked by a hash of the id; this is the only part that reaches the driver, and it is broadcast. Prediction is one pass over
@@ -35,15 +34,20 @@ from varlens.session import held, ship
 #: Bytes of a text that are parsed as one piece, and pieces that are parsed side by side.
 PIECE, SIDE = 1024, 8192
 
-#: Symbols of bytes before the references are known: the byte itself, lower-cased, but for the three merged kinds.
+#: Bytes as they are compared: A-Z lower-cased, every ASCII byte that is no letter a space.
 _FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[:33] = 32
-_FOLD[127] = 32
-for _b in range(33, 127):
-    if not chr(_b).isalnum():
-        _FOLD[_b] = ord(".")
-_FOLD[48:58] = ord("0")
+_FOLD[:128] = 32
+_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
+
+
+def folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with runs of spaces as one space, and where they start and end now."""
+    data = _FOLD[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    keep[starts[starts < ends]] = True  # whatever text comes before
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return data[keep], at[starts], at[ends]
 
 
 def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
@@ -86,17 +90,17 @@ class Parser:
 
     def __init__(self, references: list[tuple[str, bytes]]):
         self.languages = [lang for lang, _ in references]
-        folded = [_FOLD[np.frombuffer(t, np.uint8)] for _, t in references]
-        self.bits = np.array([math.log2(len(f) + 1) for f in folded])
-        known = np.unique(np.concatenate([*folded, np.zeros(0, np.uint8)]))
+        texts = [folded(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] for _, t in references]
+        self.bits = np.array([math.log2(len(t) + 1) for t in texts])
+        known = np.unique(np.concatenate([*texts, np.zeros(0, np.uint8)]))
         #: Bytes to symbols; 0 is any symbol that no reference holds.
         place = np.zeros(256, np.uint8)
         place[known] = np.arange(1, len(known) + 1)
-        self.symbol = place[_FOLD]
+        self.symbol = place
         self.width = len(known) + 1
         tables, self.starts, at = [], [], 0
-        for f in folded:
-            moves = suffix_automaton(place[f].tobytes())
+        for t in texts:
+            moves = suffix_automaton(place[t].tobytes())
             root = np.full(self.width, at * self.width * 4 + 1, np.int64)  # an unknown symbol: one phrase, back to the start
             for s, to in moves[0].items():
                 root[s] = (at + to) * self.width * 4
@@ -104,7 +108,7 @@ class Parser:
             table[0] = root
             rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
             columns = np.fromiter((s for m in moves for s in m), np.int64, len(rows))
-            table[rows, columns] = (np.fromiter((t for m in moves for t in m.values()), np.int64, len(rows)) + at) * self.width * 4
+            table[rows, columns] = (np.fromiter((to for m in moves for to in m.values()), np.int64, len(rows)) + at) * self.width * 4
             tables.append(table)
             self.starts.append(at * self.width)
             at += len(moves)
@@ -114,6 +118,7 @@ class Parser:
     def phrases(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases (texts x languages) of the texts ``data[starts:ends]``."""
         out = np.zeros((len(starts), len(self.languages)), np.int64)
+        data, starts, ends = folded(data, starts, ends)
         data = np.concatenate([data, np.zeros(PIECE, np.uint8)])  # a window of a whole piece fits at every place
         pieces = -(-(ends - starts) // PIECE)
         owner = np.repeat(np.arange(len(starts)), pieces)
