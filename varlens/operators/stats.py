@@ -24,6 +24,8 @@ from varlens.session import ship
 SMALL = 12
 #: Driver memory holds a few matrices of this many columns.
 LARGEST = 6000
+#: Bytes of partial sums that the driver adds up itself, at most; beyond, tasks add them up once more.
+GATHERED = 1 << 26
 
 
 @dataclass
@@ -102,11 +104,12 @@ def _sums(df: DataFrame, layout: Layout, target: str, weight: str | None, by: st
     return out
 
 
-def summed(parts: DataFrame) -> dict[str, np.ndarray]:
-    """The sums of packed vectors by key, from (key string, part int, v binary) rows, one or few for each partition.
+def summed(parts: DataFrame, size: int, keys: int = 1) -> dict[str, np.ndarray]:
+    """The sums of packed vectors of ``size`` by key, from (key string, part int, v binary) rows, one or few for each partition.
 
-    All partitions work side by side; about the root of their number of groups add up first, then one task for each key,
-    so a single vector per key reaches the driver.
+    All partitions work side by side; about the root of their number of groups add up first. What they leave, a vector
+    for each group and key, goes to the driver where ``keys`` of them are few bytes; else one task for each key adds up again, so
+    that a single vector per key reaches the driver.
     """
 
     def merge(batches):
@@ -121,8 +124,13 @@ def summed(parts: DataFrame) -> dict[str, np.ndarray]:
     schema = "key string, part int, v binary"
     groups = max(1, int(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     first = parts.repartition(groups, "key", F.pmod(F.col("part"), F.lit(groups))).mapInArrow(merge, schema)
-    last = first.repartition(max(1, groups // 2), "key").mapInArrow(merge, schema)
-    return {r["key"]: np.frombuffer(r["v"], float) for r in last.collect()}
+    if groups * keys * size * 8 > GATHERED:
+        first = first.repartition(max(1, groups // 2), "key").mapInArrow(merge, schema)
+    out: dict[str, np.ndarray] = {}
+    for r in first.collect():
+        v = np.frombuffer(r["v"], float)
+        out[r["key"]] = out[r["key"]] + v if r["key"] in out else v
+    return out
 
 
 def packed_rows(run, size: int):
@@ -143,7 +151,7 @@ def packed_rows(run, size: int):
 def row_sums(rows: DataFrame, run, size: int) -> np.ndarray:
     """The sum over all Arrow batches of run(batch), in one job over all partitions."""
     ship(rows.sparkSession)
-    return summed(rows.mapInArrow(packed_rows(run, size), "key string, part int, v binary")).get("", np.zeros(size))
+    return summed(rows.mapInArrow(packed_rows(run, size), "key string, part int, v binary"), size).get("", np.zeros(size))
 
 
 def stats_pass(df: DataFrame, layout: Layout, target: str, weight: str | None = None, by: str | None = None, small: int = SMALL) -> dict:
@@ -179,7 +187,7 @@ def stats_pass(df: DataFrame, layout: Layout, target: str, weight: str | None =
 
     kind = dict(df.dtypes).get(by, "string") if by else None
     back = int if kind in ("int", "bigint", "smallint", "tinyint") else str
-    got = summed(rows.mapInArrow(partial, "key string, part int, v binary"))
+    got = summed(rows.mapInArrow(partial, "key string, part int, v binary"), 4 + 2 * f + f * (f + 1) // 2, 16 if by else 1)
     out = {None if not by or k == "\0" else back(k): Stats.unpack(v, f) for k, v in got.items()}
     return out or {None: Stats.zero(f)}
 

@@ -1,8 +1,8 @@
 """The log-variance part: Newton steps on statistics gathered per iteration, and the alternation with a weighted mean.
 
 Minimises sum h/2 + r^2 exp(-h)/2 + theta' R theta / 2 over h = h0 + psi theta, with |h| held within 30: rows at
-the bound give no gradient. A step's gradient and Hessian come from one pass; a second pass evaluates the
-objective at all step sizes at once.
+the bound give no gradient. One pass gives the objective at all step sizes and, for the whole step, which is nearly always the one
+taken, the next gradient and Hessian as well; many objectives (penalties, folds, deleted rows) share their passes.
 """
 
 from __future__ import annotations
@@ -44,6 +44,16 @@ class LogVariance:
     data_hessian: np.ndarray
     objective: float
     steps: int
+    grad: np.ndarray | None = None
+
+    @property
+    def health(self) -> dict:
+        """How far the fit is from a stationary point (largest gradient entry, and relative to the objective), and the reciprocal
+        condition of its Hessian, with flags."""
+        values = np.linalg.eigvalsh(self.hessian)
+        rcond = float(values[0] / values[-1]) if values[-1] > 0 else 0.0
+        kkt = float(np.abs(self.grad).max()) if self.grad is not None else math.nan
+        return {"kkt": kkt, "kkt_relative": kkt / max(abs(self.objective), 1e-300), "rcond": rcond, "ill_conditioned": values[0] <= 0 or rcond < 1e-10}
 
     @property
     def df(self) -> float:
@@ -55,53 +65,108 @@ class LogVariance:
         return F.least(F.greatest(h, F.lit(-BOUND)), F.lit(BOUND))
 
 
+@dataclass
+class Point:
+    """A place theta of one objective: its value, gradient and Hessian there (penalty included), the data's part of the Hessian and the steps made."""
+
+    theta: np.ndarray
+    pen: np.ndarray
+    value: float = math.nan
+    grad: np.ndarray | None = None
+    data: np.ndarray | None = None
+    steps: int = 0
+    done: bool = False
+
+    @property
+    def known(self) -> bool:
+        return self.grad is not None
+
+    def take(self, got: np.ndarray) -> None:
+        """Value, gradient and Hessian from a pass's sums at theta."""
+        n = len(self.theta)
+        self.value = got[0] + 0.5 * float(self.pen @ self.theta**2)
+        self.grad, self.data = got[1 : 1 + n] + self.pen * self.theta, got[1 + n :].reshape(n, n)
+
+
+def derivative_sums(u: np.ndarray, v: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Value, gradient and Hessian of the rows' loss h / 2 + v exp(-h) / 2, h = u theta, as one vector."""
+    h = u @ theta
+    on = np.abs(h) < BOUND
+    full = np.clip(h, -BOUND, BOUND)
+    e = v * np.exp(-full)
+    rho = np.where(on, e, 0.0)
+    g = u.T @ (0.5 * (on - rho))
+    hess = (u * (0.5 * rho)[:, None]).T @ u
+    return np.concatenate([[0.5 * float((full + e).sum())], g, hess.ravel()])
+
+
+def step_sums(u: np.ndarray, v: np.ndarray, theta: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The rows' loss at theta + a * move for every a of ``STEPS``."""
+    h, dh = u @ theta, u @ move
+    return np.array([0.5 * float(((z := np.clip(h + a * dh, -BOUND, BOUND)) + v * np.exp(-z)).sum()) for a in STEPS])
+
+
+def newton_many(evaluate, points: list[Point], steps: int = 20, tol: float = 1e-6) -> int:
+    """Damped Newton steps of many objectives at once; the number of passes over the rows.
+
+    ``evaluate(asked)`` makes one pass for the list of (place in ``points``, theta, move): a move of None asks for the derivatives at
+    theta, a move for the losses at all step sizes and the derivatives at theta + move. So a step that is taken whole, the
+    usual one, costs one pass, whatever the number of objectives; after a shorter one the derivatives cost another.
+    """
+    passes = 0
+    while True:
+        asked, moves = [], {}
+        for i, p in enumerate(points):
+            if p.done and p.known:
+                continue
+            if not p.known:
+                asked.append((i, p.theta, None))
+            else:
+                moves[i] = -np.linalg.solve(p.data + np.diag(p.pen) + 1e-4 * np.eye(len(p.theta)), p.grad)
+                asked.append((i, p.theta, moves[i]))
+        if not asked:
+            return passes
+        passes += 1
+        for (i, theta, move), got in zip(asked, evaluate(asked), strict=True):
+            p = points[i]
+            if move is None:
+                p.take(got)
+                continue
+            slope = float(p.grad @ move)
+            trial = got[: len(STEPS)] + [0.5 * float(p.pen @ (theta + a * move) ** 2) for a in STEPS]
+            good = np.flatnonzero(trial <= p.value + 1e-4 * STEPS * slope)
+            p.steps += 1
+            if not len(good):
+                p.done = True
+                continue
+            before, p.theta = p.value, theta + STEPS[good[0]] * move
+            p.done = p.steps >= steps or abs(before - trial[good[0]]) <= tol * (abs(before) + 1e-12)
+            if good[0]:
+                p.grad = None  # not known here yet
+            else:
+                p.take(got[len(STEPS) :])
+
+
+def with_one(psi: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(psi)), psi])
+
+
 def newton(df: DataFrame, layout: Layout, r2: str, r: np.ndarray, w: np.ndarray | None = None, h0: float | None = None, steps: int = 20, tol: float = 1e-6) -> LogVariance:
     """Fit (h0, w) to squared residuals in column ``r2``; h0 is not penalised."""
     f = layout.size
     if h0 is None:
         h0 = math.log(max(df.agg(F.avg(r2)).head()[0] or 0.0, 1e-12))
-    theta = np.append(h0, np.zeros(f) if w is None else w)
-    pen = np.append(0.0, r)
-
-    def design(psi):
-        return np.column_stack([np.ones(len(psi)), psi])
-
-    def derivatives(psi, v, theta):
-        u = design(psi)
-        h = u @ theta
-        on = np.abs(h) < BOUND
-        rho = np.where(on, v * np.exp(-np.clip(h, -BOUND, BOUND)), 0.0)
-        g = u.T @ (0.5 * (on - rho))
-        hess = (u * (0.5 * rho)[:, None]).T @ u
-        full = np.clip(h, -BOUND, BOUND)
-        value = float((0.5 * full + 0.5 * v * np.exp(-full)).sum())
-        return np.concatenate([[value], g, hess.ravel()])
-
-    n = f + 1
-    for step in range(1, steps + 1):
-        got = _sum_rows(df, layout, r2, lambda psi, v, t=theta: derivatives(psi, v, t), 1 + n + n * n)
-        value = got[0] + 0.5 * float(pen @ theta**2)
-        grad, data = got[1 : 1 + n] + pen * theta, got[1 + n :].reshape(n, n)
-        hess = data + np.diag(pen) + 1e-4 * np.eye(n)
-        move = -np.linalg.solve(hess, grad)
-        slope = float(grad @ move)
-
-        def objectives(psi, v, t=theta, d=move):
-            u = design(psi)
-            h, dh = u @ t, u @ d
-            return np.array([(0.5 * (z := np.clip(h + a * dh, -BOUND, BOUND)) + 0.5 * v * np.exp(-z)).sum() for a in STEPS])
-
-        trial = _sum_rows(df, layout, r2, objectives, len(STEPS)) + [0.5 * float(pen @ (theta + a * move) ** 2) for a in STEPS]
-        good = np.flatnonzero(trial <= value + 1e-4 * STEPS * slope)
-        if not len(good):
-            break
-        a = STEPS[good[0]]
-        theta = theta + a * move
-        if abs(value - trial[good[0]]) <= tol * (abs(value) + 1e-12):
-            break
-    got = _sum_rows(df, layout, r2, lambda psi, v, t=theta: derivatives(psi, v, t), 1 + n + n * n)
-    data = got[1 + n :].reshape(n, n)
-    return LogVariance(layout, theta[1:], float(theta[0]), data + np.diag(pen) + 1e-9 * np.eye(n), data, got[0] + 0.5 * float(pen @ theta**2), step)
+    point = Point(np.append(h0, np.zeros(f) if w is None else w), np.append(0.0, r))
+    size = 1 + (f + 1) + (f + 1) ** 2
+
+    def evaluate(asked):
+        (_, theta, move), = asked
+        if move is None:
+            return [_sum_rows(df, layout, r2, lambda psi, v: derivative_sums(with_one(psi), v, theta), size)]
+        return [_sum_rows(df, layout, r2, lambda psi, v: np.concatenate([step_sums(u := with_one(psi), v, theta, move), derivative_sums(u, v, theta + move)]), len(STEPS) + size)]
+
+    newton_many(evaluate, [point], steps, tol)
+    return LogVariance(layout, point.theta[1:], float(point.theta[0]), point.data + np.diag(point.pen) + 1e-9 * np.eye(f + 1), point.data, point.value, point.steps, point.grad)
 
 
 @dataclass
@@ -175,30 +240,6 @@ def variance_path(df: DataFrame, layout: Layout, r2: str, shape: np.ndarray, lam
     return out[::-1]
 
 
-def best_variance_lambda(df: DataFrame, mean: Layout, var: Layout, target: str, r_mean: np.ndarray, shape: np.ndarray, fold: str, lams=None) -> dict:
-    """The log-variance penalty with the least held-out likelihood over the values of ``fold``: a grid, then a parabola
-    through the best point and its neighbours in log10."""
-    lams = np.logspace(-2, 5, 8) if lams is None else np.asarray(lams, float)
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # a few folds
-    score = []
-    for lam in lams:
-        values = []
-        for k in folds:
-            marked = df.withColumn("_s", F.when(F.col(fold) == k, F.lit("val")).otherwise(F.lit("train")))
-            values.append(heteroscedastic(marked, mean, var, target, r_mean, lam * shape, "_s", rounds=3, gain=-math.inf).nll.get("input", math.inf))
-        score.append(float(np.mean(values)))
-    k = int(np.argmin(score))
-    u = np.log10(lams)
-    if 0 < k < len(lams) - 1:
-        a, b, c = score[k - 1 : k + 2]
-        bend = a - 2 * b + c
-        shift = 0.5 * (a - c) / bend if bend > 0 else 0.0
-        u_best = u[k] + shift * (u[k + 1] - u[k])
-    else:
-        u_best = u[k]
-    return {"lambda": float(10**u_best), "at_edge": k in (0, len(lams) - 1), "path": [{"lambda": float(a), "nll": b} for a, b in zip(lams, score, strict=True)]}
-
-
 def one_step_loo(rows: DataFrame, layout: Layout, part: LogVariance, residual: str, leverage: str) -> DataFrame:
     """Deleted joint log-likelihood by one Newton step per left-out row: h moves by (1 - rho) q / 2, q = psi' H^-1 psi, capped at 5."""
     from varlens.operators.rows import _map_rows
