@@ -94,8 +94,9 @@ def test_a_kept_noise_part_decides_shares_and_has_a_spectrum(design):
     assert max(noise, key=noise.get) == 2 and sum(noise.values()) == pytest.approx(1)
     one, two = f.loo(1), f.loo()
     assert one["loo_cv"] == pytest.approx(two["loo_cv"]) and one["loo_nll"] < two["loo_nll"] < one["loo_nll"] + 0.1
-    with pytest.raises(ValueError, match="tier 2"):
-        f.loo(3)
+    assert not two["ill_conditioned"] and two["guarantee_holds"] and two["clipped"] == 0 and two["kkt_relative"] < 1e-3
+    with pytest.raises(ValueError, match="posterior"):
+        f.components("HC3")
     with pytest.raises(ValueError, match="tier must"):
         f.loo(4)
     assert np.array_equal(f.weights, f.hetero.w) and not np.array_equal(f.weights, f.solution.w)

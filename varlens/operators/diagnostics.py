@@ -128,10 +128,69 @@ def dependence_test(df: DataFrame, features: list[str], sample: int = 256, permu
     return {"statistic": seen, "p": (hits + 1) / (permutations + 1), "rows": len(rows)}
 
 
-def pair_dependence(df: DataFrame, a: str, b: str, sample: int = 2000) -> float:
-    """Distance correlation of two columns, on a hash-ordered sample (a sampling operator: its size is the parameter)."""
-    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).orderBy(F.xxhash64("a", "b"), "a", "b").limit(sample).toPandas()
-    return distance_correlation(rows["a"].to_numpy(), rows["b"].to_numpy())
+def pair_dependence(df: DataFrame, a: str, b: str, block: int = 2048) -> float:
+    """Bias-corrected distance correlation of two columns over all rows.
+
+    The sums over pairs of rows are additive over pairs of blocks: rows are dealt into blocks of ``block``, each block meets each
+    other once, and what leaves a meeting are row sums of distances and three sums of products. U-centred products follow from
+    these without a second meeting: with row sums A_i and whole sum A of the distances a_ij, the centred inner product of a and b is
+    sum a b - 2 / (n - 2) sum A_i B_i + A B / ((n - 1)(n - 2)), the diagonal being left out. Work grows with the square of the
+    rows, as the statistic's does; memory with a block.
+    """
+    from varlens.session import ship
+
+    spark = df.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "dependence")
+    rows = scratch.save(df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna().withColumn("_id", F.monotonically_increasing_id()), "rows")
+    n = rows.count()
+    if n < 4:
+        return 0.0
+    blocks = -(-n // block)
+    dealt = scratch.save(rows.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")), "dealt")
+    left = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # block _b meets block _o, once from each side
+    own = dealt.select("a", "b", F.col("_b").alias("_o"), "_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(mine, theirs):
+        import pyarrow as pa
+
+        x = [np.asarray(mine.column(c).to_numpy(), float) for c in ("a", "b")]
+        z = [np.asarray(theirs.column(c).to_numpy(), float) for c in ("a", "b")]
+        out = np.zeros((len(x[0]), 5))
+        for i in range(0, len(x[0]), 256):
+            da, db = (np.abs(u[i : i + 256, None] - v[None]) for u, v in zip(x, z, strict=True))
+            out[i : i + 256] = np.column_stack([m.sum(axis=1) for m in (da, db, da * db, da * da, db * db)])
+        return pa.table({"_id": mine.column("_id"), **{f"s{k}": out[:, k] for k in range(5)}})
+
+    met = left.groupBy("_b", "_o").cogroup(own.groupBy("_b", "_o")).applyInArrow(meet, "_id long, s0 double, s1 double, s2 double, s3 double, s4 double")
+    per = met.groupBy("_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(5)])
+    t = per.agg(*[F.sum(f"s{k}").alias(f"t{k}") for k in range(5)], F.sum(F.col("s0") * F.col("s1")).alias("ab"), F.sum(F.col("s0") ** 2).alias("aa"), F.sum(F.col("s1") ** 2).alias("bb")).head()
+    inner = lambda products, rows_, p, q: products - 2 / (n - 2) * rows_ + p * q / ((n - 1) * (n - 2))
+    ab, aa, bb = inner(t["t2"], t["ab"], t["t0"], t["t1"]), inner(t["t3"], t["aa"], t["t0"], t["t0"]), inner(t["t4"], t["bb"], t["t1"], t["t1"])
+    return ab / math.sqrt(aa * bb) if aa > 0 and bb > 0 else 0.0
+
+
+def high_frequency(df: DataFrame, features: list[str], residual: str, k1: int, more: int = 3) -> DataFrame:
+    """variable, power: squared correlations of the residual with the ``more`` frequencies above ``k1``, added up. One scan."""
+    waves = [(i, f(F.col(c) * F.lit(2 * math.pi * k))) for i, c in enumerate(features) for k in range(k1 + 1, k1 + more + 1) for f in (F.cos, F.sin)]
+    row = df.agg(*[F.corr(residual, w).alias(f"c{n}") for n, (_, w) in enumerate(waves)])
+    cells = [F.struct(F.lit(i + 1).alias("variable"), sum((F.coalesce(F.col(f"c{n}"), F.lit(0.0)) ** 2 for n, (j, _) in enumerate(waves) if j == i), F.lit(0.0)).alias("power")) for i in range(len(features))]
+    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
+def residual_report(df: DataFrame, features: list[str], target: str, residual: str, k1: int, top: int = 10) -> dict:
+    """What a residual's correlations suggest: more functions of a variable, interactions or a complement, a noise part."""
+    found = residual_correlations(df, features, residual).collect()  # a row per variable and pair
+    power = {features[r["variable"] - 1]: r["power"] for r in high_frequency(df, features, residual, k1).collect()}
+    v = df.agg(F.var_pop(residual).alias("r"), F.var_pop(target).alias("y")).head()
+    of = lambda kind: {r["v1"] if r["v2"] is None else (r["v1"], r["v2"]): r["r"] or 0.0 for r in found if r["kind"] == kind and (r["r"] is None or not math.isnan(r["r"]))}
+    named = lambda d: {(features[k - 1] if isinstance(k, int) else tuple(features[i - 1] for i in k)): x for k, x in d.items()}
+    linear_, square, pairs = named(of("linear")), named(of("square")), named(of("pair"))
+    largest = lambda d: max((abs(x) for x in d.values()), default=0.0)
+    share = (v["r"] or 0.0) / max(v["y"] or 0.0, 1e-300)
+    rules = {"more_functions": max(power.values(), default=0.0) > 0.05, "interactions": largest(pairs) > 0.1 or largest(linear_) > 0.1 or share > 0.2, "noise_part": largest(square) > 0.1}
+    best = sorted(pairs, key=lambda p: (-abs(pairs[p]), p))[:top]
+    return {"linear": linear_, "square": square, "pairs": {p: pairs[p] for p in best}, "high_frequency": power, "residual_share": share, **rules}
 
 
 def share_divergence(df: DataFrame, layout: Layout, w: np.ndarray) -> DataFrame:

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from varlens.operators import prepare
 from varlens.operators.diagnostics import next_stages, residual_correlations
-from varlens.operators.residual import Complement, Features, complement_variance, fit_complement, kmeans_centres
+from varlens.operators.joint import deleted
+from varlens.operators.residual import Complement, Features, complement_variance, fit_complement, kmeans_centres, whole_intervals
 from varlens.operators.ridge import Solution, best_lambdas, order_shapes, solve
-from varlens.operators.rows import _map_rows, intervals, leverage_rows, loo_summary, predict, sandwich
+from varlens.operators.rows import leverage_rows, linear, loo_summary, predict, sandwich
 from varlens.operators.selection import active_variables, by_bic, by_glasso, by_one_se
 from varlens.operators.sensitivity import block_variances, components_table, share_intervals, shares, total_order
 from varlens.operators.stats import Stats, stats_pass, total
 from varlens.operators.structure import exact_loo
-from varlens.operators.variance import Heteroscedastic, heteroscedastic, one_step_loo
+from varlens.operators.variance import BOUND, Heteroscedastic, heteroscedastic, newton, one_step_loo
 from varlens.plans.layout import Layout, pairs_of, triples_of
 
 STRATEGIES = ("uniform", "variance", "smoothness", "curvature", "sobolev", "spectral")
@@ -50,12 +51,18 @@ class Config:
     residual_scale: float = 0.5
     residual_lambda: float = 1e-2
     kh: int = 1
+    kh2: int = 0
     lambda_h: float = 1.0
+    lambda_h2: float | None = None
+    variance_features: tuple[str, ...] | None = None
+    variance_basis: str | None = None
+    variance_pairs: tuple | str = "all"
+    prune_mains: bool = False
     folds: int = 5
     level: float = 0.95
 
     def __post_init__(self):
-        for name, low in (("k1", 1), ("k2", 0), ("k3", 0), ("kh", 1), ("folds", 2), ("residual_size", 1)):
+        for name, low in (("k1", 1), ("k2", 0), ("k3", 0), ("kh", 1), ("kh2", 0), ("folds", 2), ("residual_size", 1)):
             v = getattr(self, name)
             if not isinstance(v, int) or isinstance(v, bool) or v < low:
                 raise ValueError(f"{name} must be an integer from {low} on, not {v!r}")
@@ -71,6 +78,14 @@ class Config:
                 raise ValueError(f"{name} must be one of {allowed}, not {getattr(self, name)!r}")
         if self.strategy.split("_")[0] not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}, not {self.strategy!r}")
+        if self.lambda_h2 is not None and not 0 < self.lambda_h2 < math.inf:
+            raise ValueError(f"lambda_h2 must be a positive number, not {self.lambda_h2!r}")
+        if self.variance_basis not in (None, *choose["basis"]):
+            raise ValueError(f"variance_basis must be one of {choose['basis']}, not {self.variance_basis!r}")
+        if isinstance(self.variance_pairs, str) and self.variance_pairs not in ("all", "auto"):
+            raise ValueError("variance_pairs must be all, auto or a list of pairs of feature names")
+        if self.variance_features is not None and not self.variance_features:
+            raise ValueError("variance_features must name some features")
         if isinstance(self.pairs, str) and self.pairs not in ("all", "both", "either"):
             raise ValueError("pairs must be all, both, either or a list of pairs")
         if self.stages is not None and (not self.stages or self.stages[0] != "A" or list(self.stages) != sorted(set(self.stages)) or set(self.stages) - set("ABCD")):
@@ -86,6 +101,39 @@ class Config:
         return cls(**given)
 
 
+def noise_layout(c: Config, features: list[str], rows: DataFrame, squares: str) -> Layout:
+    """The log-variance's own design: main effects of ``variance_features`` (default all; the noise is taken as flat along the
+    others) and, with ``kh2``, pairs of them: all, those given by name, or ``auto``, both of whose variables a quick fit of
+    main effects to ``squares`` finds active."""
+    own = list(features if c.variance_features is None else c.variance_features)
+    if missing := [x for x in own if x not in features]:
+        raise ValueError(f"variance_features {missing} are no features")
+    places = [features.index(x) for x in own]
+    basis = c.variance_basis or c.basis
+    mains = Layout.build(features, c.kh, basis=basis, linear=c.linear, first=places)
+    if not c.kh2:
+        return mains
+    if isinstance(c.variance_pairs, str):
+        active = places
+        if c.variance_pairs == "auto":
+            quick = newton(rows, mains, squares, mains.penalty(c.lambda_h, c.strategy), steps=5)
+            v = block_variances(mains, quick.w)
+            active = active_variables({t.vars[0]: x / max(v.sum(), 1e-300) for t, x in zip(mains.terms, v, strict=True)}, c.threshold)
+        pairs = pairs_of(len(features), [a for a in active if a in places], "both")
+    else:
+        pairs = []
+        for p in c.variance_pairs:
+            if len(p) != 2 or p[0] == p[1] or any(x not in own for x in p):
+                raise ValueError(f"variance pair {p!r} must be two different names of {own}")
+            pairs.append(tuple(sorted(features.index(x) for x in p)))
+    return Layout.build(features, c.kh, c.kh2, pairs=pairs, basis=basis, linear=c.linear, first=places) if pairs else mains
+
+
+def noise_penalty(layout: Layout, c: Config) -> np.ndarray:
+    """lambda_h for main effects, lambda_h2 (default ten times that) for pairs."""
+    return layout.penalty({1: c.lambda_h, 2: c.lambda_h2 or 10 * c.lambda_h}, c.strategy)
+
+
 @dataclass
 class Result:
     """A fit: its layout and statistics, and answers as DataFrames."""
@@ -154,8 +202,14 @@ class Result:
 
     def components(self, covariance: str | None = None) -> DataFrame:
         """The spectrum with intervals: classical sigma^2 A^-1 C A^-1, or HC0 / HC3 by one more pass. With a noise part the
-        weighted coefficients and their posterior covariance, the inverse of the weighted normal matrix."""
+        weighted coefficients and their posterior covariance, the inverse of the weighted normal matrix; a sandwich is then
+        refused. With a complement lo and hi are bounds of ``share_core``, the share among the terms, as always, while
+        ``share_total`` counts the complement's variance too."""
         s = self.solution
+        if covariance not in (None, "HC0", "HC3"):
+            raise ValueError(f"covariance must be None, HC0 or HC3, not {covariance!r}")
+        if self.noise and covariance:
+            raise ValueError("with a noise part the weighted fit's posterior covariance is used; a sandwich of the unweighted fit does not belong to it")
         if self.noise:
             cov = self.hetero.solution.inverse
         elif covariance:
@@ -172,7 +226,9 @@ class Result:
 
     def loo(self, tier: int = 2) -> dict:
         """Leave-one-out likelihood and mean square. With a noise part tier 1 holds it as it is and tier 2 moves it by one
-        Newton step for each row left out; without one they are the same. Tier 3 refits exactly, without a noise part only."""
+        Newton step for each row left out; without one they are the same. Tier 3 refits exactly, with a noise part mean and
+        log-variance together for every row, so it is meant for small tables. With a noise part tier 2 says whether its step can
+        be trusted: gradient (``kkt``) and conditioning of the log-variance, rows pressed against its bounds, corrections cut."""
         if tier not in (1, 2, 3):
             raise ValueError(f"tier must be 1, 2 or 3, not {tier!r}")
         s, part, rows = self.solution, self.noise, self.rows
@@ -183,15 +239,23 @@ class Result:
                 out["loo_nll"] = exact.agg(F.avg("loo_nll")).head()[0]
             return out
         if tier == 3:
-            raise ValueError("exact refits of a noise part are not offered: use tier 2")
+            refits, flags = deleted(rows.withColumn("_k", F.monotonically_increasing_id()), self.layout, part.layout, self.target, self.penalty, noise_penalty(part.layout, self.config), "_k")
+            return {"tier": 3, "loo_nll": float(np.mean([r["nll"] for r in refits])), "refits": len(refits), "settled": sum(r["converged"] for r in refits), **flags}
         h = self.hetero
         rows = leverage_rows(rows.withColumn("_w", F.exp(-part.column())), self.layout, self.target, h.w, h.f0, h.solution.inverse, "_w")
+        free, ratio = linear(part.layout.columns(), part.w, part.h0), F.col("_w") * F.col("residual") ** 2
+        active = ((free <= -BOUND * (1 - 1e-6)) & (ratio < 1)) | ((free >= BOUND * (1 - 1e-6)) & (ratio > 1))
+        rows = rows.withColumn("_active", active)
         if tier == 2:
             rows = one_step_loo(rows, part.layout, part, "residual", "leverage")
         else:
-            rows = rows.withColumn("loo_nll", 0.5 * (math.log(2 * math.pi) - F.log("_w") + F.col("_w") * F.col("loo_residual") ** 2))
-        got = rows.agg(F.avg(F.col("loo_residual") ** 2).alias("cv"), F.avg("loo_nll").alias("nll")).head()
-        return {"tier": tier, "loo_cv": got["cv"], "loo_nll": got["nll"]}
+            rows = rows.withColumn("loo_nll", 0.5 * (math.log(2 * math.pi) - F.log("_w") + F.col("_w") * F.col("loo_residual") ** 2)).withColumn("correction", F.lit(0.0))
+        got = rows.agg(F.avg(F.col("loo_residual") ** 2).alias("cv"), F.avg("loo_nll").alias("nll"), F.max(F.col("_active").cast("int")).alias("active"), F.count_if(F.abs("correction") >= 5).alias("clipped")).head()
+        out = {"tier": tier, "loo_cv": got["cv"], "loo_nll": got["nll"]}
+        if tier == 2:
+            health = part.health
+            out |= {**health, "floor_active": bool(got["active"]), "clipped": got["clipped"], "guarantee_holds": not got["active"] and not health["ill_conditioned"]}
+        return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.quantiles.apply(df) if self.quantiles else df
@@ -199,20 +263,9 @@ class Result:
     def predict(self, df: DataFrame) -> DataFrame:
         """``df``'s features mapped, with prediction, noise and interval bounds. A complement moves prediction and bounds by
         its own value; the noise is then what both leave, or the noise part's."""
-        rows = self.transform(df)
-        s, part, extra = self.solution, self.noise, self.complement
-        lv = (part.layout, part.w, part.h0) if part else None
+        s, part = self.solution, self.noise
         f0, inv = (self.hetero.f0, self.hetero.solution.inverse) if part else (self.f0, s.inverse)
-        sigma2, left = s.sigma2, s.df_residual
-        if extra is not None:
-            left = max(left - extra.df, 1.0)
-            sigma2 = extra.mse * s.n / left
-        out = intervals(rows, self.layout, self.weights, f0, inv, sigma2, left, self.config.level, lv)
-        if extra is None:
-            return out
-        w = np.concatenate([-extra.projection @ extra.v, extra.v])  # the closure must not hold the result and its session
-        out = _map_rows(out, extra.joint, {"_more": lambda j, _: j @ w})
-        return out.withColumns({c: F.col(c) + F.col("_more") for c in ("prediction", "lo", "hi")}).drop("_more")
+        return whole_intervals(self.transform(df), self.layout, self.weights, f0, inv, s.sigma2, s.df_residual, s.n, self.config.level, (part.layout, part.w, part.h0) if part else None, self.complement)
 
 
 def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform: bool = False, split: str | None = None, fold: str | None = None, **options) -> Result:
@@ -272,8 +325,12 @@ def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform:
         folds, s, r, found = run(layout)
         stages.append("B")
         log.append({"stage": "B", "columns": layout.size, "bic": found.bic, "mse": found.mse, "active": on})
-        if c.prune_pairs:
-            keep = [x["group"] for x in by_bic(s, r, [layout.block(k) for k in range(len(layout.terms))]) if x["selected"] or layout.terms[x["group"]].order == 1]
+        if c.prune_pairs or c.prune_mains:
+            chosen = {x["group"] for x in by_bic(s, r, [layout.block(k) for k in range(len(layout.terms))]) if x["selected"]}
+            higher = {k for k, t in enumerate(layout.terms) if t.order > 1 and (k in chosen or not c.prune_pairs)}
+            held = {v for k in higher for v in layout.terms[k].vars}  # a main effect stays where an interaction holds its variable
+            keep = sorted(higher | {k for k, t in enumerate(layout.terms) if t.order == 1 and (k in chosen or not c.prune_mains or t.vars[0] in held)})
+            keep = keep or [0]
             if len(keep) < len(layout.terms):
                 layout, at = layout.select(keep)
                 folds = {k: v.take(at) for k, v in folds.items()}
@@ -290,7 +347,8 @@ def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform:
         result.complement = fit_complement(train, layout, extra, target, found.w, mean, c.residual_lambda)
         stages.append("C")
     if "D" in wanted:
-        var = Layout.build(features, c.kh, basis=c.basis, linear=c.linear)
-        result.hetero = heteroscedastic(rows, layout, var, target, r, var.penalty(c.lambda_h, c.strategy), split)
+        scored = predict(train, layout, found.w, mean, "_p").withColumn("_r2", (F.col(target) - F.col("_p")) ** 2)
+        var = noise_layout(c, features, scored, "_r2")
+        result.hetero = heteroscedastic(rows, layout, var, target, r, noise_penalty(var, c), split)
         stages.append("D")
     return result

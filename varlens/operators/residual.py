@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varlens.functions.numeric import halton, normal_quantile
+from varlens.operators.rows import _map_rows, intervals
 from varlens.operators.stats import Stats, stats_pass
 from varlens.plans.layout import Layout
 
@@ -156,6 +157,48 @@ def fit_complement(df: DataFrame, layout: Layout, extra: Features, target: str,
     return Complement(joint, p, v, joint_w, max(s.rss(joint_w), 0.0) / max(s.n, 1.0), float(np.trace(inverse @ zz)))
 
 
+def posterior_variance(df: DataFrame, features: list[str], points, scale: float, lam: float, kind: str = "rbf", signal: float = 1.0, name: str = "posterior_variance") -> DataFrame:
+    """``df`` with the variance that a kernel model of inducing ``points`` leaves open at each row.
+
+    signal - k(x, P) (K_PP + lam I)^-1 k(P, x), all kernels times ``signal``. The inverse's factor stays with the points, a
+    few hundred rows; a row needs its kernels against them and one triangular product.
+    """
+    p = np.asarray(points, float)
+    inner = signal * kernel(((p[:, None] - p[None]) ** 2).sum(-1), scale, kind) + lam * np.eye(len(p))
+    root = np.linalg.inv(np.linalg.cholesky(inner)).T  # K^-1 = root root'
+
+    def left(x, _):
+        d2 = np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1), 0)
+        return signal - ((signal * kernel(d2, scale, kind) @ root) ** 2).sum(axis=1)
+
+    return _map_rows(df, Plain(tuple(features)), {name: left})
+
+
+@dataclass(frozen=True)
+class Plain:
+    """The features themselves, with the interface of a layout."""
+
+    features: tuple[str, ...]
+
+    def batch(self, x: np.ndarray) -> np.ndarray:
+        return x
+
+
+def whole_intervals(rows: DataFrame, layout: Layout, w: np.ndarray, f0: float, inverse: np.ndarray, sigma2: float, df_residual: float, n: float, level: float = 0.95, noise: tuple | None = None, extra: Complement | None = None) -> DataFrame:
+    """``intervals`` of a fit with all its parts: a log-variance (layout, w, h0), and a complement that moves prediction and bounds
+    by its own value; the noise is then what both leave, or the noise part's."""
+    left = df_residual
+    if extra is not None:
+        left = max(left - extra.df, 1.0)
+        sigma2 = extra.mse * n / left
+    out = intervals(rows, layout, w, f0, inverse, sigma2, left, level, noise)
+    if extra is None:
+        return out
+    u = np.concatenate([-extra.projection @ extra.v, extra.v])  # the closure must not hold the result and its session
+    out = _map_rows(out, extra.joint, {"_more": lambda j, _: j @ u})
+    return out.withColumns({c: F.col(c) + F.col("_more") for c in ("prediction", "lo", "hi")}).drop("_more")
+
+
 def complement_variance(complement: Complement, df: DataFrame | None = None, points: int = 4096) -> float:
     """The complement's variance: over the rows of ``df`` (one pass), or without it under the uniform measure, at ``points`` Halton points."""
     lay = complement.joint.layout

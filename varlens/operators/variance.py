@@ -241,17 +241,21 @@ def variance_path(df: DataFrame, layout: Layout, r2: str, shape: np.ndarray, lam
 
 
 def one_step_loo(rows: DataFrame, layout: Layout, part: LogVariance, residual: str, leverage: str) -> DataFrame:
-    """Deleted joint log-likelihood by one Newton step per left-out row: h moves by (1 - rho) q / 2, q = psi' H^-1 psi, capped at 5."""
+    """Deleted joint log-likelihood (``loo_nll``) by one Newton step per left-out row, and the ``correction`` of its log-variance:
+    (1 - rho) q / 2, q = psi' H^-1 psi, cut at 5."""
     from varlens.operators.rows import _map_rows
 
     inv = np.linalg.inv(part.hessian)
 
-    def nll(phi, e):
+    def moved(phi, e):
         u = np.column_stack([np.ones(len(phi)), phi])
         h = np.clip(part.h0 + phi @ part.w, -BOUND, BOUND)
         rho = e[residual] ** 2 * np.exp(-h)
-        h2 = h + np.clip(0.5 * (1 - rho) * ((u @ inv) * u).sum(axis=1), -5, 5)
+        return h, np.clip(0.5 * (1 - rho) * ((u @ inv) * u).sum(axis=1), -5, 5)
+
+    def nll(phi, e):
+        h, more = moved(phi, e)
         deleted = e[residual] / (1 - np.clip(e[leverage], 0, 1 - 1e-10))
-        return 0.5 * h2 + 0.5 * deleted**2 * np.exp(-h2) + 0.5 * math.log(2 * math.pi)
+        return 0.5 * (h + more) + 0.5 * deleted**2 * np.exp(-(h + more)) + 0.5 * math.log(2 * math.pi)
 
-    return _map_rows(rows, layout, {"loo_nll": nll}, (residual, leverage))
+    return _map_rows(rows, layout, {"loo_nll": nll, "correction": lambda phi, e: moved(phi, e)[1]}, (residual, leverage))
