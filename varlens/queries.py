@@ -81,6 +81,35 @@ def R(x, n=6):
     return f"round({x}, {n}) + 0.0"
 
 
+def projections(spark: SparkSession, sf_dir: str, layout: Layout) -> np.ndarray:
+    """Mean products of the planted target, centred, with every function of a layout: the coefficients that later queries show."""
+    s = stats_pass(planted(spark, sf_dir), layout, "y")[None].centred()
+    return s.b / s.n
+
+
+def W(functions: list[str]) -> str:
+    """The same as a relation w(i, w)."""
+    return f"{P}, z AS (SELECT *, y - (SELECT avg(y) FROM p) AS z FROM p), a AS (SELECT [{', '.join(f'avg(z * {f})' for f in functions)}] AS l FROM z), w AS (SELECT CAST(i AS INTEGER) AS i, l[i + 1] AS w FROM a, (SELECT unnest(range(0, {len(functions)})) AS i))"
+
+
+def fourier_sql(x: str, k: int) -> list[str]:
+    return [f"({x} - 0.5)", *(f"{f}({2 * j} * pi() * {x})" for j in range(1, k + 1) for f in ("cos", "sin"))]
+
+
+def legendre_sql(x: str, k: int) -> list[str]:
+    z = f"(2 * {x} - 1)"
+    return [z, f"((3 * pow({z}, 2) - 1) / 2)", f"((5 * pow({z}, 3) - 3 * {z}) / 2)", f"((35 * pow({z}, 4) - 30 * pow({z}, 2) + 3) / 8)"][:k]
+
+
+def haar_sql(x: str, k: int) -> list[str]:
+    out = []
+    for j in range(1, k + 1):
+        n = 2 ** (j - 1)
+        a = f"sqrt({n}::DOUBLE)"
+        out += [f"(CASE WHEN least(floor({x} * {2 * n}), {2 * n - 1}) = {2 * q} THEN {a} WHEN least(floor({x} * {2 * n}), {2 * n - 1}) = {2 * q + 1} THEN -{a} ELSE 0 END)" for q in range(n)]
+    return out
+
+
 # --- preparation -------------------------------------------------------------------------------------------
 
 _CHECKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -210,34 +239,50 @@ def basis_mixed(spark, sf_dir):
     return _long(spark, sf_dir, lay.columns())
 
 
-def _matrix(spark, m):
-    return make(spark, [(i, j, round(float(v), 9) + 0.0) for (i, j), v in np.ndenumerate(m)], "i int, j int, v double")
+def _weighed(spark, sf_dir, lay, m):
+    """A matrix between the coefficients that the table gives a layout's functions: their sum is the variance."""
+    w = projections(spark, sf_dir, lay)
+    return make(spark, [(i, j, round(float(v), 9) + 0.0) for (i, j), v in np.ndenumerate(m * np.outer(w, w))], "i int, j int, v double")
+
+
+def _weighed_sql(functions, entry):
+    return f"WITH {W(functions)}, q AS (SELECT a.i, b.i AS j, a.w * b.w AS w FROM w a, w b) SELECT i, j, {R(f'w * ({entry})', 9)} AS v FROM q"
 
 
 _IJ = "(SELECT CAST(unnest(range(0, {n})) AS INTEGER) AS i), (SELECT CAST(unnest(range(0, {n})) AS INTEGER) AS j)"
 
 
-@query(f"SELECT i, j, {R('CASE WHEN i = 0 AND j = 0 THEN 1 / 12.0::DOUBLE WHEN i = j THEN 0.5 WHEN least(i, j) = 0 AND greatest(i, j) % 2 = 0 THEN -1 / (pi() * greatest(i, j)) ELSE 0 END', 9)} AS v FROM {_IJ.format(n=7)}")
+@query(_weighed_sql(fourier_sql("x1", 3), "CASE WHEN i = 0 AND j = 0 THEN 1 / 12.0::DOUBLE WHEN i = j THEN 0.5 WHEN least(i, j) = 0 AND greatest(i, j) % 2 = 0 THEN -1 / (pi() * greatest(i, j)) ELSE 0 END"))
 def gram_fourier(spark, sf_dir):
-    return _matrix(spark, gram(3))
+    return _weighed(spark, sf_dir, Layout.build(["x1"], 3), gram(3))
 
 
-@query(f"SELECT i, j, {R('CASE WHEN i = j THEN 1 / (2.0::DOUBLE * i + 3) ELSE 0 END', 9)} AS v FROM {_IJ.format(n=4)}")
+@query(_weighed_sql(legendre_sql("x2", 4), "CASE WHEN i = j THEN 1 / (2.0::DOUBLE * i + 3) ELSE 0 END"))
 def gram_legendre(spark, sf_dir):
-    return _matrix(spark, gram(4, "legendre"))
+    return _weighed(spark, sf_dir, Layout.build(["x2"], 4, basis="legendre"), gram(4, "legendre"))
 
 
-@query(f"SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {_IJ.format(n=7)}")
+@query(_weighed_sql(haar_sql("x1", 3), "CASE WHEN i = j THEN 1 ELSE 0 END"))
 def gram_haar(spark, sf_dir):
-    return _matrix(spark, gram(3, "haar"))
+    return _weighed(spark, sf_dir, Layout.build(["x1"], 3, basis="haar"), gram(3, "haar"))
+
+
+def _pair(a, b, **options):
+    """A layout of the pair alone."""
+    lay = Layout.build([a, b], **options)
+    return lay.select([2])[0]
 
 
-@query(f"SELECT i, j, {R('CASE WHEN i = j THEN 1 / ((2.0::DOUBLE * (i // 2) + 3) * (2 * (i % 2) + 3)) ELSE 0 END', 9)} AS v FROM {_IJ.format(n=4)}")
+def _products(a, b):
+    return [f"{f} * {g}" for f in a for g in b]
+
+
+@query(_weighed_sql(_products(legendre_sql("x1", 2), legendre_sql("x3", 2)), "CASE WHEN i = j THEN 1 / ((2.0::DOUBLE * (i // 2) + 3) * (2 * (i % 2) + 3)) ELSE 0 END"))
 def gram_kron(spark, sf_dir):
-    return _matrix(spark, Layout.build(["a", "b"], 2, 2, basis="legendre").terms[2].gram())
+    lay = _pair("x1", "x3", k1=2, k2=2, basis="legendre")
+    return _weighed(spark, sf_dir, lay, lay.terms[0].gram())
 
 
-_FREQ = "(SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS i)"
 _PEN = {
     "uniform": "0.01",
     "variance": "0.01 * CASE WHEN i = 0 THEN 1 / 12.0::DOUBLE ELSE 0.5 END",
@@ -248,25 +293,39 @@ _PEN = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{s}' AS strategy, i, {R(f'CAST({v} AS DOUBLE)', 9)} AS r FROM {_FREQ}" for s, v in _PEN.items()))
+@query(f"WITH {W(fourier_sql('x1', 2))} " + " UNION ALL ".join(f"SELECT '{s}' AS strategy, i, {R(f'w * w * CAST({v} AS DOUBLE)', 9)} AS r FROM w" for s, v in _PEN.items()))
 def penalty_strategies(spark, sf_dir):
-    return make(spark, [(s, i, round(float(v), 9) + 0.0) for s in _PEN for i, v in enumerate(penalty(2, 0.01, s))], "strategy string, i int, r double")
+    """What each strategy charges the coefficients that the table gives x1's functions."""
+    w = projections(spark, sf_dir, Layout.build(["x1"], 2))
+    return make(spark, [(s, i, round(float(v * w[i] ** 2), 9) + 0.0) for s in _PEN for i, v in enumerate(penalty(2, 0.01, s))], "strategy string, i int, r double")
 
 
 _C1 = "CASE WHEN {i} = 0 THEN 1e-6 ELSE pow(2 * pi(), 4) / 2 END"
 _V1 = "CASE WHEN {i} = 0 THEN 1 / 12.0::DOUBLE ELSE 0.5 END"
 
 
-@query(f"SELECT 'curvature' AS strategy, i, j, {R(f'0.1 * ({_C1.format(i='i')} + {_C1.format(i='j')})', 9)} AS r FROM {_IJ.format(n=3)} UNION ALL SELECT 'variance', i, j, {R(f'0.1 * {_V1.format(i='i')} * {_V1.format(i='j')}', 9)} FROM {_IJ.format(n=3)}")
+@query(f"WITH {W(_products(fourier_sql('x1', 1), fourier_sql('x3', 1)))}, q AS (SELECT i // 3 AS i, i % 3 AS j, w * w AS w FROM w) SELECT 'curvature' AS strategy, i, j, {R(f'w * 0.1 * ({_C1.format(i='i')} + {_C1.format(i='j')})')} AS r FROM q UNION ALL SELECT 'variance', i, j, {R(f'w * 0.1 * {_V1.format(i='i')} * {_V1.format(i='j')}')} FROM q")
 def penalty_pair(spark, sf_dir):
-    t = Layout.build(["a", "b"], 1, 1).terms[2]
-    return make(spark, [(s, n // 3, n % 3, round(float(v), 9) + 0.0) for s in ("curvature", "variance") for n, v in enumerate(t.penalty(0.1, s))], "strategy string, i int, j int, r double")
+    lay = _pair("x1", "x3", k1=1, k2=1)
+    w = projections(spark, sf_dir, lay)
+    return make(spark, [(s, n // 3, n % 3, round(float(v * w[n] ** 2), 6) + 0.0) for s in ("curvature", "variance") for n, v in enumerate(lay.terms[0].penalty(0.1, s))], "strategy string, i int, j int, r double")
+
 
+def _mixed_pair(spark, sf_dir, bases):
+    lay = _pair("x1", "x3", k2=1, per_variable=bases)
+    w = projections(spark, sf_dir, lay)
+    return make(spark, [(n // 2, n % 2, round(float(v * w[n] ** 2), 9) + 0.0) for n, v in enumerate(lay.terms[0].penalty(0.1, "variance"))], "i int, j int, r double")
 
-@query(f"SELECT i, j, {R('0.1 * (1 / (2.0::DOUBLE * i + 3) + 0.5)', 9)} AS r FROM {_IJ.format(n=2)}")
+
+@query(f"WITH {W(_products(legendre_sql('x1', 2), fourier_sql('x3', 1)[1:]))}, q AS (SELECT i // 2 AS i, i % 2 AS j, w * w AS w FROM w) SELECT i, j, {R('w * 0.1 * (1 / (2.0::DOUBLE * i + 3) + 0.5)', 9)} AS r FROM q")
 def penalty_mixed(spark, sf_dir):
-    t = Layout.build(["a", "b"], pairs=[(0, 1)], k2=1, per_variable=[("legendre", 2), ("fourier", 1)]).terms[2]
-    return make(spark, [(n // 2, n % 2, round(float(v), 9)) for n, v in enumerate(t.penalty(0.1, "variance"))], "i int, j int, r double")
+    return _mixed_pair(spark, sf_dir, [("legendre", 2), ("fourier", 1)])
+
+
+@query(f"WITH {W(_products(legendre_sql('x1', 2), legendre_sql('x3', 2)))}, q AS (SELECT i // 2 AS i, i % 2 AS j, w * w AS w FROM w) SELECT i, j, {R('w * 0.1 * (1 / (2.0::DOUBLE * i + 3) + 1 / (2.0::DOUBLE * j + 3))', 9)} AS r FROM q")
+def penalty_mixed_equal(spark, sf_dir):
+    """In a layout with a basis for each variable, pairs of equal bases are additive too."""
+    return _mixed_pair(spark, sf_dir, [("legendre", 2), ("legendre", 2)])
 
 
 # --- term structure ----------------------------------------------------------------------------------------
@@ -293,14 +352,22 @@ def missing_pairs(spark, sf_dir):
     return every.join(make(spark, [(0, 1), (2, 4)], "i int, j int"), ["i", "j"], "left_anti")
 
 
-_SHARES = {0: 0.5, 1: 0.004, 2: 0.3, 3: 0.15, 4: 0.046}
+@query(f"WITH {W([legendre_sql(x, 1)[0] for x in ('x1', 'x2', 'x3')] + [f'cos(2 * pi() * {x})' for x in ('x1', 'x2', 'x3')])}, v AS (SELECT i % 3 AS v, sum(w * w) AS s FROM w GROUP BY 1), r AS (SELECT v, s / sum(s) OVER () AS s, row_number() OVER (ORDER BY s DESC, v) AS n FROM v) SELECT CAST(v AS INTEGER) AS v FROM r WHERE s > 0.05 OR n <= 2")
+def active_variables(spark, sf_dir):
+    """Variables with over a twentieth of the energy of their linear function and their first cosine, two at least."""
+    names = ["x1", "x2", "x3"]
+    w = np.concatenate([projections(spark, sf_dir, Layout.build(names, 1, basis="legendre")), projections(spark, sf_dir, Layout.build(names, 1, linear=False))[::2]])
+    energy = w[:3] ** 2 + w[3:] ** 2
+    return make(spark, [(v,) for v in selection.active_variables(dict(enumerate(energy / energy.sum())), 0.05)], "v int")
 
 
-@query("WITH s(v, s) AS (VALUES (0, 0.5), (1, 0.004), (2, 0.3), (3, 0.15), (4, 0.046)), r AS (SELECT v, s, row_number() OVER (ORDER BY s DESC, v) AS n FROM s) SELECT CAST(v AS INTEGER) AS v FROM r WHERE s > 0.05 OR n <= 2")
-def active_variables(spark, sf_dir):
-    return make(spark, [(v,) for v in selection.active_variables(_SHARES, 0.05)], "v int")
+_TWO = fourier_sql("x1", 1) + fourier_sql("x3", 1) + _products(fourier_sql("x1", 1), fourier_sql("x3", 1))
 
 
-@query("SELECT * FROM (VALUES (0, 1, 'fourier', 1, 0, 3), (1, 1, 'fourier', 1, 3, 3), (2, 2, 'fourier', 1, 6, 9)) t(term_id, ord, basis, k, \"offset\", size)")
+@query(f"WITH {W(_TWO)}, t(term_id, ord, basis, k, \"offset\", size) AS (VALUES (0, 1, 'fourier', 1, 0, 3), (1, 1, 'fourier', 1, 3, 3), (2, 2, 'fourier', 1, 6, 9)) SELECT t.*, {R('(SELECT sum(w * w) FROM w WHERE i >= t.\"offset\" AND i < t.\"offset\" + t.size)')} AS energy FROM t")
 def layout_terms(spark, sf_dir):
-    return Layout.build(["a", "b"], 1, 1).relation(spark).drop("vars")
+    """The terms of a layout, with the energy that the table gives each one's functions."""
+    lay = Layout.build(["x1", "x3"], 1, 1)
+    w = projections(spark, sf_dir, lay)
+    energy = make(spark, [(n, round(float((w[lay.block(n)] ** 2).sum()), 6)) for n in range(3)], "term_id int, energy double")
+    return lay.relation(spark).drop("vars").join(energy, "term_id")

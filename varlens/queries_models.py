@@ -13,7 +13,7 @@ from varlens.operators import diagnostics, discovery, residual, ridge, rows, sel
 from varlens.operators.fit import fit
 from varlens.operators.stats import stats_pass, total
 from varlens.plans.layout import Layout, Spec, Term
-from varlens.queries import PI2, R, P, frac, make, planted, query, rd, table, tidy
+from varlens.queries import fourier_sql, frac, haar_sql, legendre_sql, make, P, PI2, planted, projections, query, R, rd, table, tidy, W
 from varlens.sources import synthetic
 
 # --- normal equations --------------------------------------------------------------------------------------
@@ -218,14 +218,16 @@ def bic_groups(spark, sf_dir):
     return make(spark, [(r["group"], round(r["delta"], 4), r["selected"]) for r in got], "g int, delta double, selected boolean")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, sign(x) * greatest(abs(x) - 0.5, 0) + 0.0 AS v FROM (SELECT i, i / 2.0::DOUBLE - 1 AS x FROM (SELECT unnest(range(0, 5)) AS i))")
+@query(f"WITH {W(fourier_sql('x1', 2))} SELECT i, {R('sign(w) * greatest(abs(w) - 0.05, 0)')} AS v FROM w")
 def soft_threshold(spark, sf_dir):
-    return make(spark, [(i, selection.soft(i / 2 - 1, 0.5) + 0.0) for i in range(5)], "i int, v double")
+    w = projections(spark, sf_dir, Layout.build(["x1"], 2))
+    return make(spark, [(i, round(float(selection.soft(x, 0.05)), 6) + 0.0) for i, x in enumerate(w)], "i int, v double")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, [3.0::DOUBLE, 4.0::DOUBLE][i + 1] * greatest(1 - t / 5.0, 0) AS v, t FROM (SELECT unnest(range(0, 2)) AS i), (VALUES (1.0::DOUBLE), (6.0::DOUBLE)) s(t)")
+@query(f"WITH {W(fourier_sql('x1', 2))}, n AS (SELECT sqrt(sum(w * w)) AS n FROM w) SELECT i, {R('w * greatest(1 - t / n, 0)')} AS v, t FROM w, n, (VALUES (0.1::DOUBLE), (6.0::DOUBLE)) s(t)")
 def group_soft_threshold(spark, sf_dir):
-    return make(spark, [(i, v, t) for t in (1.0, 6.0) for i, v in enumerate(selection.group_soft(np.array([3.0, 4.0]), t))], "i int, v double, t double")
+    w = projections(spark, sf_dir, Layout.build(["x1"], 2))
+    return make(spark, [(i, round(float(v), 6) + 0.0, t) for t in (0.1, 6.0) for i, v in enumerate(selection.group_soft(w, t))], "i int, v double, t double")
 
 
 @query("SELECT 'lasso' AS method, 0.0::DOUBLE AS violation UNION ALL SELECT 'elastic_net', 0.0::DOUBLE")
@@ -249,41 +251,51 @@ def group_lasso_path(spark, sf_dir):
     return make(spark, [(n, len(r["active"]), r["df"], round(r["bic"], 3)) for n, r in enumerate(p)], "step int, groups int, df int, bic double")
 
 
-# --- sensitivity of a fixed coefficient relation -----------------------------------------------------------
+# --- sensitivity of the coefficients that the table gives ---------------------------------------------------
 
-_LAY = Layout.build(["a", "b", "c"], 1, 1, basis="legendre")
-_W = np.array([1.0, -0.5, 0.25, 0.6, 0.0, -0.3])
-_CO = "c(term, v1, v2, w, g) AS (VALUES (0, 1, NULL, 1.0::DOUBLE, 1 / 3.0::DOUBLE), (1, 2, NULL, -0.5, 1 / 3.0), (2, 3, NULL, 0.25, 1 / 3.0), (3, 1, 2, 0.6, 1 / 9.0), (4, 1, 3, 0.0, 1 / 9.0), (5, 2, 3, -0.3, 1 / 9.0)), v AS (SELECT *, w * w * g AS v FROM c)"
+_LAY = Layout.build(["x1", "x2", "x3"], 1, 1, basis="legendre")
+_L1 = [legendre_sql(x, 1)[0] for x in ("x1", "x2", "x3")]
 
 
-@query(f"WITH {_CO} SELECT CAST(term AS INTEGER) AS term, {R('v', 9)} AS variance, {R('v / sum(v) OVER ()', 9)} AS share_core, {R('v / (sum(v) OVER () + 0.1)', 9)} AS share_total, {R('sum(v) OVER (ORDER BY v DESC, term) / sum(v) OVER ()', 9)} AS cumulative, CAST(row_number() OVER (ORDER BY v DESC, term) AS INTEGER) AS rank FROM v")
+def _coefficients(spark, sf_dir):
+    return projections(spark, sf_dir, _LAY) / np.concatenate([np.diag(t.gram()) for t in _LAY.terms])
+
+
+_CO = f"{W([*_L1, f'{_L1[0]} * {_L1[1]}', f'{_L1[0]} * {_L1[2]}', f'{_L1[1]} * {_L1[2]}'])}, c AS (SELECT i AS term, [1, 2, 3, 1, 1, 2][i + 1] AS v1, [NULL, NULL, NULL, 2, 3, 3][i + 1] AS v2, w * CASE WHEN i < 3 THEN 3 ELSE 9 END AS w, 1 / CASE WHEN i < 3 THEN 3.0::DOUBLE ELSE 9.0 END AS g FROM w), v AS (SELECT *, w * w * g AS v FROM c)"
+
+
+@query(f"WITH {_CO} SELECT CAST(term AS INTEGER) AS term, {R('v')} AS variance, {R('v / sum(v) OVER ()')} AS share_core, {R('v / (sum(v) OVER () + 0.1)')} AS share_total, {R('sum(v) OVER (ORDER BY v DESC, term) / sum(v) OVER ()')} AS cumulative, CAST(row_number() OVER (ORDER BY v DESC, term) AS INTEGER) AS rank FROM v")
 def sobol_shares(spark, sf_dir):
-    d = make(spark, [(s["term"], s["variance"], s["share_core"], s["share_total"]) for s in sensitivity.shares(_LAY, _W, 0.1)], "term int, variance double, share_core double, share_total double")
+    d = make(spark, [(s["term"], s["variance"], s["share_core"], s["share_total"]) for s in sensitivity.shares(_LAY, _coefficients(spark, sf_dir), 0.1)], "term int, variance double, share_core double, share_total double")
     w = Window.orderBy(F.col("variance").desc(), "term")
-    return tidy(d.withColumn("cumulative", F.sum("share_core").over(w)).withColumn("rank", F.row_number().over(w)), 9)
+    return tidy(d.withColumn("cumulative", F.sum("share_core").over(w)).withColumn("rank", F.row_number().over(w)))
 
 
-@query(f"WITH {_CO}, e AS (SELECT v1 AS x, v FROM v UNION ALL SELECT v2, v FROM v WHERE v2 IS NOT NULL) SELECT CAST(x AS INTEGER) AS variable, {R('sum(v) / (SELECT sum(v) FROM v)', 9)} AS total FROM e GROUP BY x")
+@query(f"WITH {_CO}, e AS (SELECT v1 AS x, v FROM v UNION ALL SELECT v2, v FROM v WHERE v2 IS NOT NULL) SELECT CAST(x AS INTEGER) AS variable, {R('sum(v) / (SELECT sum(v) FROM v)')} AS total FROM e GROUP BY x")
 def sobol_total_order(spark, sf_dir):
-    return make(spark, [(i + 1, round(float(v), 9)) for i, v in enumerate(sensitivity.total_order(_LAY, _W))], "variable int, total double")
+    return make(spark, [(i + 1, round(float(v), 6)) for i, v in enumerate(sensitivity.total_order(_LAY, _coefficients(spark, sf_dir)))], "variable int, total double")
 
 
-@query(f"WITH {_CO} SELECT CAST(coalesce(o, 0) AS INTEGER) AS ord, {R('sum(v)', 9)} AS variance FROM (SELECT CASE WHEN v2 IS NULL THEN 1 ELSE 2 END AS o, v FROM v) GROUP BY ROLLUP (o)")
+@query(f"WITH {_CO} SELECT CAST(coalesce(o, 0) AS INTEGER) AS ord, {R('sum(v)')} AS variance FROM (SELECT CASE WHEN v2 IS NULL THEN 1 ELSE 2 END AS o, v FROM v) GROUP BY ROLLUP (o)")
 def order_rollup(spark, sf_dir):
-    d = sensitivity.components_table(spark, _LAY, _W)
-    return tidy(d.rollup("ord").agg(F.sum("variance").alias("variance")).withColumn("ord", F.coalesce("ord", F.lit(0))), 9)
+    d = sensitivity.components_table(spark, _LAY, _coefficients(spark, sf_dir))
+    return tidy(d.rollup("ord").agg(F.sum("variance").alias("variance")).withColumn("ord", F.coalesce("ord", F.lit(0))))
 
 
-@query(f"WITH {_CO} SELECT CAST(v1 AS INTEGER) AS i, CAST(coalesce(v2, v1) AS INTEGER) AS j, {R('v / sum(v) OVER ()', 9)} AS share FROM v")
+@query(f"WITH {_CO} SELECT CAST(v1 AS INTEGER) AS i, CAST(coalesce(v2, v1) AS INTEGER) AS j, {R('v / sum(v) OVER ()')} AS share FROM v")
 def interaction_matrix(spark, sf_dir):
-    m = sensitivity.strength_matrix(_LAY, _W)
-    return make(spark, [(i + 1, j + 1, round(float(m[i, j]), 9)) for i in range(3) for j in range(i, 3)], "i int, j int, share double")
+    m = sensitivity.strength_matrix(_LAY, _coefficients(spark, sf_dir))
+    return make(spark, [(i + 1, j + 1, round(float(m[i, j]), 6)) for i in range(3) for j in range(i, 3)], "i int, j int, share double")
 
 
-@query(f"SELECT CAST(f AS INTEGER) AS frequency, {R('CASE f WHEN 0 THEN 4 / 12.0::DOUBLE - 2 * 0.5 / (2 * pi()) ELSE 0.5 * (1 + 0.25) - 2 * 0.5 / (2 * pi()) END', 9)} AS variance FROM (SELECT unnest(range(0, 2)) AS f)")
+_F1 = f"{W(fourier_sql('x1', 1))}, c AS (SELECT max(w) FILTER (WHERE i = 0) AS a, max(w) FILTER (WHERE i = 1) AS b, max(w) FILTER (WHERE i = 2) AS c FROM w)"
+
+
+@query(f"WITH {_F1} SELECT CAST(f AS INTEGER) AS frequency, {R('CASE f WHEN 0 THEN a * a / 12 - a * c / (2 * pi()) ELSE 0.5 * (b * b + c * c) - a * c / (2 * pi()) END')} AS variance FROM c, (SELECT unnest(range(0, 2)) AS f)")
 def frequency_shares(spark, sf_dir):
-    got = sensitivity.frequencies(Layout.build(["x"], 1), np.array([2.0, 1.0, 0.5]), 0)
-    return make(spark, [(r["frequency"], round(r["variance"], 9)) for r in got], "frequency int, variance double")
+    lay = Layout.build(["x1"], 1)
+    got = sensitivity.frequencies(lay, projections(spark, sf_dir, lay), 0)
+    return make(spark, [(r["frequency"], round(r["variance"], 6)) for r in got], "frequency int, variance double")
 
 
 @query(f"WITH {P}, f AS (SELECT 2 * (2 * x1 - 1) AS a, 3 * (2 * x2 - 1) AS b, (2 * x1 - 1) * (2 * x3 - 1) AS c FROM p), l AS (UNPIVOT (SELECT a, b, c, a + b + c AS t FROM f) ON a, b, c INTO NAME component VALUE v) SELECT component, {R('covar_pop(v, t)')} AS covariance, {R('covar_pop(v, t) / var_pop(t)')} AS share FROM l GROUP BY component")
@@ -322,18 +334,19 @@ def predict_interval(spark, sf_dir):
     return d.select("k", rd(F.col("prediction")).alias("yhat"), rd(F.col("lo"), 4).alias("lo"), rd(F.col("hi"), 4).alias("hi"))
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, {R('0.5 * (x - 0.5) + 3 * cos(2 * pi() * x) - sin(2 * pi() * x)')} AS f FROM (SELECT i, i / 199.0::DOUBLE AS x FROM (SELECT unnest(range(0, 200)) AS i))")
+@query(f"WITH {_F1} SELECT k, {R('a * (x1 - 0.5) + b * cos(2 * pi() * x1) + c * sin(2 * pi() * x1)')} AS f FROM p, c")
 def component_curve(spark, sf_dir):
-    d = spark.range(200).select(F.col("id").cast("int").alias("i"), (F.col("id") / 199.0).alias("x1"))
-    return d.select("i", rd(rows.linear(basis_columns(F.col("x1"), 1), _FW[:3])).alias("f"))
+    """A main effect along its variable, at every row."""
+    lay = Layout.build(["x1"], 1)
+    w = projections(spark, sf_dir, lay)
+    return planted(spark, sf_dir).select("k", rd(rows.linear(lay.columns(), w)).alias("f"))
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('2 * (2 * i / 49.0::DOUBLE - 1) * (2 * j / 49.0::DOUBLE - 1)')} AS f FROM (SELECT unnest(range(0, 50)) AS i), (SELECT unnest(range(0, 50)) AS j)")
+@query(f"WITH {_CO} SELECT k, {R('(SELECT w FROM v WHERE term = 4) * (2 * x1 - 1) * (2 * x3 - 1)')} AS f FROM p")
 def pair_surface(spark, sf_dir):
-    d = spark.range(2500).select(F.floor(F.col("id") / 50).cast("int").alias("i"), (F.col("id") % 50).cast("int").alias("j"))
-    d = d.select("i", "j", (F.col("i") / 49.0).alias("a"), (F.col("j") / 49.0).alias("b"))
-    lay = Layout.build(["a", "b"], 1, 1, basis="legendre")
-    return d.select("i", "j", rd(rows.linear(lay.columns()[2:], [2.0])).alias("f"))
+    """An interaction over the plane of its variables, at every row."""
+    w = _coefficients(spark, sf_dir)[_LAY.block(4)]
+    return planted(spark, sf_dir).select("k", rd(rows.linear(_LAY.select([4])[0].columns(), w)).alias("f"))
 
 
 @query(f"WITH {P} SELECT k, {R('0.5 * (x1 - 0.5) + 3 * cos(2 * pi() * x1) - sin(2 * pi() * x1)')} AS c1, {R('2 * (x2 - 0.5) + 0.25 * cos(2 * pi() * x2) + 0.75 * sin(2 * pi() * x2)')} AS c2 FROM p")
@@ -441,10 +454,15 @@ def haar_cells(spark, sf_dir):
     return d.groupBy(F.least(F.floor(F.col("x1") * 8), F.lit(7)).cast("int").alias("cell")).agg(F.count("*").alias("n"), rd(F.avg("y")).alias("m"))
 
 
-@query("SELECT i, CASE WHEN l + f + h < 1e-3 THEN 'none' WHEN h > 0.3 * (l + f + h) THEN CASE WHEN l > h THEN 'legendre+haar' ELSE 'haar' END WHEN f > 0.2 * (l + f) THEN 'fourier' ELSE 'legendre' END AS basis FROM (VALUES (0, 0.0, 0.0, 0.0), (1, 0.5, 0.01, 0.0), (2, 0.1, 0.5, 0.01), (3, 0.1, 0.1, 0.6), (4, 0.5, 0.0, 0.3)) t(i, l, f, h)")
+_ENERGY = [f for x in ("x1", "x2", "x3") for f in (legendre_sql(x, 1)[0], f"cos(2 * pi() * {x})", haar_sql(x, 1)[0])]
+
+
+@query(f"WITH {W(_ENERGY)}, e AS (SELECT i // 3 AS i, sum(w * w) FILTER (WHERE i % 3 = 0) AS l, sum(w * w) FILTER (WHERE i % 3 = 1) AS f, sum(w * w) FILTER (WHERE i % 3 = 2) AS h FROM w GROUP BY 1) SELECT i, CASE WHEN l + f + h < 1e-3 THEN 'none' WHEN h > 0.3 * (l + f + h) THEN CASE WHEN l > h THEN 'legendre+haar' ELSE 'haar' END WHEN f > 0.2 * (l + f) THEN 'fourier' ELSE 'legendre' END AS basis FROM e")
 def basis_recommendation(spark, sf_dir):
-    given = [(0.0, 0.0, 0.0), (0.5, 0.01, 0.0), (0.1, 0.5, 0.01), (0.1, 0.1, 0.6), (0.5, 0.0, 0.3)]
-    return make(spark, [(i, discovery.recommend_basis(*g)) for i, g in enumerate(given)], "i int, basis string")
+    """What the energies of each variable's linear, cosine and step function in the target suggest."""
+    names = ["x1", "x2", "x3"]
+    legendre, fourier, haar = (projections(spark, sf_dir, lay) ** 2 for lay in (Layout.build(names, 1, basis="legendre"), Layout.build(names, 1, linear=False), Layout.build(names, 1, basis="haar")))
+    return make(spark, [(i, discovery.recommend_basis(float(legendre[i]), float(fourier[2 * i]), float(haar[i]))) for i in range(3)], "i int, basis string")
 
 
 _D2 = "pow(x1 - 0.25, 2) + pow(x2 - 0.75, 2)"
@@ -474,30 +492,35 @@ def projection_orthogonality(spark, sf_dir):
     return make(spark, [(round(float(np.abs(s.c[:f, f:] - s.c[:f, :f] @ p).max()) / s.n, 6),)], "largest double")
 
 
-def _gen(d, n, sql_y, xs=None):
+def _ids(spark, sf_dir):
+    """The keys of orders, as the rows of a benchmark."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+def _gen(d, sql_y):
     a = synthetic.steps(d)
     cols = ", ".join(f"(i + 1) * {repr(s)}::DOUBLE - floor((i + 1) * {repr(s)}::DOUBLE) AS x{k + 1}" for k, s in enumerate(a))
-    return f"WITH g AS (SELECT i, {cols} FROM (SELECT unnest(range(0, {n})) AS i)) SELECT i, {R(sql_y)} AS y FROM g"
+    return f"WITH g AS (SELECT i, {cols} FROM (SELECT o_orderkey AS i FROM orders)) SELECT i, {R(sql_y)} AS y FROM g"
 
 
-@query(_gen(5, 2000, "10 * sin(pi() * x1 * x2) + 20 * pow(x3 - 0.5, 2) + 10 * x4 + 5 * x5"))
+@query(_gen(5, "10 * sin(pi() * x1 * x2) + 20 * pow(x3 - 0.5, 2) + 10 * x4 + 5 * x5"))
 def generate_friedman1(spark, sf_dir):
-    return tidy(synthetic.friedman1(spark, 2000, 5, 0.0).select("i", "y"))
+    return tidy(synthetic.friedman1(spark, _ids(spark, sf_dir), 5, 0.0).select("i", "y"))
 
 
-@query(_gen(3, 2000, "sin((2 * x1 - 1) * pi()) + 7 * pow(sin((2 * x2 - 1) * pi()), 2) + 0.1 * pow((2 * x3 - 1) * pi(), 4) * sin((2 * x1 - 1) * pi())"))
+@query(_gen(3, "sin((2 * x1 - 1) * pi()) + 7 * pow(sin((2 * x2 - 1) * pi()), 2) + 0.1 * pow((2 * x3 - 1) * pi(), 4) * sin((2 * x1 - 1) * pi())"))
 def generate_ishigami(spark, sf_dir):
-    return tidy(synthetic.ishigami(spark, 2000).select("i", "y"))
+    return tidy(synthetic.ishigami(spark, _ids(spark, sf_dir)).select("i", "y"))
 
 
-@query(_gen(4, 2000, "(abs(4 * x1 - 2) / 1) * ((abs(4 * x2 - 2) + 1) / 2) * ((abs(4 * x3 - 2) + 4.5) / 5.5) * ((abs(4 * x4 - 2) + 9) / 10)"))
+@query(_gen(4, "(abs(4 * x1 - 2) / 1) * ((abs(4 * x2 - 2) + 1) / 2) * ((abs(4 * x3 - 2) + 4.5) / 5.5) * ((abs(4 * x4 - 2) + 9) / 10)"))
 def generate_g_function(spark, sf_dir):
-    return tidy(synthetic.g_function(spark, 2000, (0, 1, 4.5, 9)).select("i", "y"))
+    return tidy(synthetic.g_function(spark, _ids(spark, sf_dir), (0, 1, 4.5, 9)).select("i", "y"))
 
 
-@query(_gen(20, 500, " + ".join(f"{20.0 if k <= 4 else 5.0 / k!r} * (x{k} - 0.5)" for k in range(1, 11)) + "".join(f" - 15 * (x{i} - 0.5) * (x{j} - 0.5)" for i in range(1, 5) for j in range(i + 1, 5))))
+@query(_gen(20, " + ".join(f"{20.0 if k <= 4 else 5.0 / k!r} * (x{k} - 0.5)" for k in range(1, 11)) + "".join(f" - 15 * (x{i} - 0.5) * (x{j} - 0.5)" for i in range(1, 5) for j in range(i + 1, 5))))
 def generate_morris(spark, sf_dir):
-    return tidy(synthetic.morris(spark, 500).select("i", "y"))
+    return tidy(synthetic.morris(spark, _ids(spark, sf_dir)).select("i", "y"))
 
 
 _MEANS = {
@@ -510,18 +533,30 @@ _MEANS = {
     "triple": (6, "2 * sin(2 * pi() * x1) + sin(2 * pi() * x2) * sin(2 * pi() * x3) + 1.5 * sin(2 * pi() * x1) * sin(2 * pi() * x2) * sin(2 * pi() * x3)"),
 }
 for _n, (_d, _m) in _MEANS.items():
-    query(_gen(_d, 1000, _m), f"generate_{_n}")(lambda spark, sf_dir, n=_n: tidy(synthetic.catalogue(spark, n, 1000).select("i", F.col("truth").alias("y"))))
+    query(_gen(_d, _m), f"generate_{_n}")(lambda spark, sf_dir, n=_n: tidy(synthetic.catalogue(spark, n, _ids(spark, sf_dir)).select("i", F.col("truth").alias("y"))))
 
 
-@query(f"WITH c AS (SELECT 0.5 * pow(1 + 0.1 * pow(pi(), 4) / 5, 2) AS a, 49 / 8.0::DOUBLE AS b, 8 * 0.01 * pow(pi(), 8) / 225 AS c) SELECT {R('a / (a + b + c)', 9)} AS s1, {R('b / (a + b + c)', 9)} AS s2, {R('(a + c) / (a + b + c)', 9)} AS t1, {R('c / (a + b + c)', 9)} AS t3 FROM c")
+_ISH = "SELECT sin((2 * x1 - 1) * pi()) * (1 + 0.1 * pow(pi(), 4) / 5) AS m1, 7 * pow(sin((2 * x2 - 1) * pi()), 2) AS m2, sin((2 * x1 - 1) * pi()) + 7 * pow(sin((2 * x2 - 1) * pi()), 2) + 0.1 * pow((2 * x3 - 1) * pi(), 4) * sin((2 * x1 - 1) * pi()) AS y FROM g"
+
+
+@query(_gen(3, "0").split("SELECT i, round")[0] + f", y AS ({_ISH}), c AS (SELECT 0.5 * pow(1 + 0.1 * pow(pi(), 4) / 5, 2) AS a, 49 / 8.0::DOUBLE AS b, 8 * 0.01 * pow(pi(), 8) / 225 AS c) SELECT {R('var_pop(m1) / (any_value(a) + any_value(b) + any_value(c)) - any_value(a) / (any_value(a) + any_value(b) + any_value(c))')} AS d1, {R('var_pop(m2) / (any_value(a) + any_value(b) + any_value(c)) - any_value(b) / (any_value(a) + any_value(b) + any_value(c))')} AS d2, {R('var_pop(y) / (any_value(a) + any_value(b) + any_value(c)) - 1')} AS d FROM y, c")
 def truth_ishigami(spark, sf_dir):
+    """How far the variances over the table's rows are from the known ones, as shares: two main effects, and the whole."""
     t = synthetic.ishigami_truth()
-    return make(spark, [tuple(round(v, 9) for v in (t["first"][0], t["first"][1], t["total"][0], t["total"][2]))], "s1 double, s2 double, t1 double, t3 double")
+    d = synthetic.ishigami(spark, _ids(spark, sf_dir))
+    mains = F.sin("x1") * (1 + 0.1 * math.pi**4 / 5), 7 * F.pow(F.sin("x2"), 2)
+    v = t["variance"]
+    return tidy(d.agg((F.var_pop(mains[0]) / v - t["first"][0]).alias("d1"), (F.var_pop(mains[1]) / v - t["first"][1]).alias("d2"), (F.var_pop("y") / v - 1).alias("d")))
 
 
-@query(f"WITH a AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i), v AS (SELECT i, 1 / (3 * pow(1 + [0, 1, 4.5, 9][i + 1], 2))::DOUBLE AS v FROM a) SELECT i, {R('v / ((SELECT product(1 + v) FROM v) - 1)', 9)} AS first FROM v")
+@query(_gen(4, "0").split("SELECT i, round")[0] + f", m AS (SELECT unnest([abs(4 * x1 - 2), (abs(4 * x2 - 2) + 1) / 2, (abs(4 * x3 - 2) + 4.5) / 5.5, (abs(4 * x4 - 2) + 9) / 10]) AS m, unnest([0, 1, 2, 3]) AS i FROM g), a AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i), v AS (SELECT i, 1 / (3 * pow(1 + [0, 1, 4.5, 9][i + 1], 2))::DOUBLE AS v FROM a), w AS (SELECT product(1 + v) - 1 AS w FROM v) SELECT CAST(m.i AS INTEGER) AS i, {R('(var_pop(m) - any_value(v)) / any_value(w)')} AS d FROM m JOIN v ON v.i = m.i, w GROUP BY m.i")
 def truth_g_function(spark, sf_dir):
-    return make(spark, [(i, round(v, 9)) for i, v in enumerate(synthetic.g_truth((0, 1, 4.5, 9))["first"])], "i int, first double")
+    """The same for each factor of the G function."""
+    a = (0, 1, 4.5, 9)
+    t = synthetic.g_truth(a)
+    d = synthetic.inputs(spark, _ids(spark, sf_dir), 4).agg(*[F.var_pop((F.abs(4 * F.col(f"x{k + 1}") - 2) + float(c)) / (1 + float(c))).alias(f"v{k}") for k, c in enumerate(a)])
+    cells = F.array(*[F.struct(F.lit(k).alias("i"), (F.col(f"v{k}") / t["variance"] - t["first"][k]).alias("d")) for k in range(4)])
+    return tidy(d.select(F.explode(cells).alias("s")).select("s.*"))
 
 
 # --- fits and iterations -----------------------------------------------------------------------------------
@@ -578,7 +613,7 @@ def newton_stationarity(spark, sf_dir):
 
 @query()
 def heteroscedastic_fit(spark, sf_dir):
-    d = synthetic.catalogue(spark, "apart", 4000).withColumn("split", F.when(F.col("i") % 5 < 4, "train").otherwise("val"))
+    d = synthetic.catalogue(spark, "apart", _ids(spark, sf_dir)).withColumn("split", F.when(F.col("i") % 5 < 4, "train").otherwise("val"))
     names = [f"x{k}" for k in range(1, 7)]
     m, v = Layout.build(names, 2), Layout.build(["x3"], 1)
     got = variance.heteroscedastic(d, m, v, "y", m.penalty(1e-3, "curvature"), v.penalty(1.0, "curvature"), "split", rounds=3)
@@ -754,10 +789,14 @@ def model_checks(spark, sf_dir):
     return tidy(diagnostics.verify(_z(spark, sf_dir), ["x1", "x2", "x3"], "y", "r", 0.5))
 
 
-@query("SELECT * FROM (VALUES (1000, 5, 2, 0), (100000, 5, 5, 2), (1000, 20, 2, 0)) t(n, d, k1, k2)")
+@query("""WITH t AS (SELECT 'orders' AS name, count(*) AS n, 3 AS d FROM orders UNION ALL SELECT 'lineitem', count(*), 4 FROM lineitem UNION ALL SELECT 'supplier', count(*), 20 FROM supplier),
+o(s, a, b) AS (VALUES (0, 1, 0), (1, 2, 0), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 4, 2), (6, 5, 2)),
+z AS (SELECT name, n // 10 AS most, s, a, b, d * (2 * a + 1) + CASE WHEN b > 0 THEN d * (d - 1) // 2 * pow(2 * b + 1, 2) ELSE 0 END AS size FROM t, o),
+f AS (SELECT name, coalesce(min(s) FILTER (WHERE s > 0 AND size > most), 7) - 1 AS s FROM z GROUP BY name)
+SELECT f.name, CAST(a AS INTEGER) AS k1, CAST(b AS INTEGER) AS k2, CAST(size AS INTEGER) AS columns FROM f JOIN z ON z.name = f.name AND z.s = f.s""")
 def first_fit_plan(spark, sf_dir):
-    """Orders for a first fit within a tenth of the rows."""
+    """Orders for a first fit of some columns of each table, within a tenth of its rows."""
     from varlens.plans.layout import first_try
 
-    return make(spark, [(n, d, (p := first_try(n, d))["k1"], p["k2"]) for n, d in ((1000, 5), (100_000, 5), (1000, 20))], "n int, d int, k1 int, k2 int")
-
+    sizes = [(t, table(spark, sf_dir, t).count(), d) for t, d in (("orders", 3), ("lineitem", 4), ("supplier", 20))]
+    return make(spark, [(t, (p := first_try(n, d))["k1"], p["k2"], p["columns"]) for t, n, d in sizes], "name string, k1 int, k2 int, columns int")

@@ -14,17 +14,18 @@ from varlens.plans.layout import Layout
 from varlens.queries import P, R, make, planted, query, rd, tidy
 from varlens.queries_models import S1, _S2
 
-_CO = "c(term, w, g) AS (VALUES (0, 0.8::DOUBLE, 1 / 3.0::DOUBLE), (1, -0.4, 1 / 3.0), (2, 0.5, 1 / 9.0)), v AS (SELECT *, w * w * g AS v FROM c)"
+_Q = ["(2 * x1 - 1)", "(2 * x2 - 1)", "(2 * x1 - 1) * (2 * x2 - 1)"]
 
 
-@query(f"WITH {_CO} SELECT CAST(term AS INTEGER) AS term, {R('v', 9)} AS variance, {R('v / sum(v) OVER ()', 9)} AS share FROM v")
+@query(f"WITH {P}, q AS (SELECT *, y * y - (SELECT avg(y * y) FROM p) AS z FROM p), c AS (SELECT unnest([0, 1, 2]) AS term, unnest([{', '.join(f'avg(z * {f})' for f in _Q)}]) AS w FROM q), v AS (SELECT term, w * w / CASE WHEN term < 2 THEN 3 ELSE 9 END AS v FROM c) SELECT CAST(term AS INTEGER) AS term, {R('v')} AS variance, {R('v / sum(v) OVER ()')} AS share FROM v")
 def noise_shares(spark, sf_dir):
-    """The spectrum of a log-variance part, pairs included."""
-    lay = Layout.build(["a", "b"], 1, 1, basis="legendre")
-    part = variance.LogVariance(lay, np.array([0.8, -0.4, 0.5]), -1.0, np.eye(4), np.eye(4), 0.0, 0)
+    """The spectrum of a log-variance part, pairs included, with coefficients from the table's squares."""
+    lay = Layout.build(["x1", "x2"], 1, 1, basis="legendre")
+    s = stats_pass(planted(spark, sf_dir).withColumn("y", F.col("y") ** 2), lay, "y")[None].centred()
+    part = variance.LogVariance(lay, s.b / s.n, -1.0, np.eye(4), np.eye(4), 0.0, 0)
     d = sensitivity.components_table(spark, part.layout, part.w, "noise")
     d = d.select(F.when(F.col("ord") == 2, 2).otherwise(F.col("v1") - 1).alias("term"), "variance", F.col("share_core").alias("share"))
-    return tidy(d, 9)
+    return tidy(d)
 
 
 @query(f"WITH {P} SELECT {R('4 * var_pop(sqrt(2 / 1.0::DOUBLE) * cos(1.5 * x1 - 2 * x2 + 0.7))')} AS variance FROM p")
@@ -35,12 +36,14 @@ def residual_variance_of_rows(spark, sf_dir):
     return make(spark, [(round(residual.complement_variance(c, planted(spark, sf_dir)), 6),)], "variance double")
 
 
-@query(f"WITH c AS (SELECT sin(1.5 + 0.7) - sin(0.7) AS a, sin(0.7) AS b), g AS (SELECT (i + 0.5) / 400 AS x FROM (SELECT unnest(range(0, 400)) AS i)), z AS (SELECT 2 * sqrt(2) * cos(1.5 * u.x - 2 * v.x + 0.7) AS z FROM g u, g v) SELECT {R('var_pop(z)', 2)} AS variance FROM z")
+@query(f"WITH {P}, g AS (SELECT (i + 0.5) / 400 AS x FROM (SELECT unnest(range(0, 400)) AS i)), z AS (SELECT sqrt(2) * cos(1.5 * u.x - 2 * v.x + 0.7) AS z FROM g u, g v) SELECT {R('stddev_pop(z) * (SELECT stddev_pop(y) FROM p)', 2)} AS sd FROM z")
 def residual_variance_of_cube(spark, sf_dir):
-    """The same under the uniform measure: Halton points here, a midpoint grid there, to two decimals."""
+    """The same under the uniform measure, for a complement as strong as the table's target varies, as a standard deviation:
+    Halton points here, a midpoint grid there, to two decimals."""
     joint = residual.Joint(Layout.build(["x1", "x2"], 1), residual.Features("rff", np.array([[1.5, -2.0]]), 1.0, np.array([0.7])))
-    c = residual.Complement(joint, np.zeros((joint.layout.size, 1)), np.array([2.0]), np.zeros(joint.layout.size + 1))
-    return make(spark, [(round(residual.complement_variance(c, points=65536), 2),)], "variance double")
+    size = planted(spark, sf_dir).agg(F.stddev_pop("y")).head()[0]
+    c = residual.Complement(joint, np.zeros((joint.layout.size, 1)), np.array([size]), np.zeros(joint.layout.size + 1))
+    return make(spark, [(round(math.sqrt(residual.complement_variance(c, points=65536)), 2),)], "sd double")
 
 
 @query(f"""WITH {P}, f AS (SELECT 2 * (2 * x1 - 1) AS a, 1.5 * (2 * x2 - 1) AS b, (2 * x1 - 1) * (2 * x3 - 1) AS c FROM p), t AS (SELECT a, b, a + b + c AS t FROM f), k AS (SELECT 4 / 3.0::DOUBLE AS a, 0.75::DOUBLE AS b, 1 / 9.0::DOUBLE AS c),
@@ -62,24 +65,25 @@ def lambda_path_shares(spark, sf_dir):
     return make(spark, [(round(math.log10(r["lambda"])), r["term"], round(r["variance"], 6), round(r["share"], 6)) for r in got], "e int, term int, variance double, share double")
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('0.1 * (1 / (2.0::DOUBLE * i + 3) + 1 / (2.0::DOUBLE * j + 3))', 9)} AS r FROM (SELECT unnest(range(0, 2)) AS i), (SELECT unnest(range(0, 2)) AS j)")
-def penalty_mixed_equal(spark, sf_dir):
-    """In a layout with a basis for each variable, pairs of equal bases are additive too."""
-    t = Layout.build(["a", "b"], pairs=[(0, 1)], k2=1, per_variable=[("legendre", 2), ("legendre", 2)]).terms[2]
-    return make(spark, [(n // 2, n % 2, round(float(v), 9)) for n, v in enumerate(t.penalty(0.1, "variance"))], "i int, j int, r double")
-
 
 @query("SELECT CAST(i AS INTEGER) AS step, 0.0::DOUBLE AS violation FROM (SELECT unnest(range(0, 12)) AS i)")
 def group_lasso_optimality(spark, sf_dir):
-    """No step of a single block lowers the objective of a fitted group lasso: the largest gain along the path, per row."""
+    """The optimality conditions of a fitted group lasso along its path, from the statistics alone: a block at zero has its own
+    solution within the threshold; one that is not equals its own solution shrunk by it."""
     lay = Layout.build(["x1", "x2", "x3"], 2, 1)
     s = stats_pass(planted(spark, sf_dir), lay, "y")[None].centred()
     r, blocks = lay.penalty(1e-6), [lay.block(k) for k in range(len(lay.terms))]
     out = []
     for n, alpha in enumerate(np.logspace(-1, -3, 12)):
-        w = selection.group_lasso(s, r, blocks, alpha)
-        again = selection.group_lasso(s, r, blocks, alpha, w=w, steps=1)
-        out.append((n, round(float(np.abs(again - w).max()), 6) + 0.0))
+        w, worst = selection.group_lasso(s, r, blocks, alpha, tol=1e-12, steps=5000), 0.0
+        for b in blocks:
+            c, limit = s.c[b, b], alpha * math.sqrt(b.stop - b.start)
+            others = w.copy()
+            others[b] = 0
+            free = np.linalg.solve(c + np.diag(s.n * r[b]), s.b[b] - s.c[b] @ others)
+            size = math.sqrt(max(float(free @ c @ free) / s.n, 0.0))
+            worst = max(worst, max(size - limit, 0.0) if not w[b].any() else float(np.abs(w[b] - free * (1 - limit / size)).max()))
+        out.append((n, round(worst, 5) + 0.0))
     return make(spark, out, "step int, violation double")
 
 

@@ -23,11 +23,12 @@ def steps(d: int) -> list[float]:
     return [round(g ** -(k + 1), 12) for k in range(d)]
 
 
-def inputs(spark: SparkSession, n: int, d: int) -> DataFrame:
-    """i and x1..xd in [0, 1)."""
+def inputs(spark: SparkSession, n: int | DataFrame, d: int) -> DataFrame:
+    """i and x1..xd in [0, 1), for row numbers up to ``n``, or those in its column ``id`` where it is a table."""
     i = F.col("id").cast("double") + 1.0
     frac = lambda v: v - F.floor(v)
-    return spark.range(n).select(F.col("id").alias("i"), *[frac(i * F.lit(a)).alias(f"x{k + 1}") for k, a in enumerate(steps(d))])
+    rows = n if isinstance(n, DataFrame) else spark.range(n)
+    return rows.select(F.col("id").alias("i"), *[frac(i * F.lit(a)).alias(f"x{k + 1}") for k, a in enumerate(steps(d))])
 
 
 def noise(sd: Column | float = 1.0) -> Column:
