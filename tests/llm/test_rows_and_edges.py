@@ -365,3 +365,17 @@ def test_families_without_links_compare_each_pair_once(spark, monkeypatch):
                 if low[a] != low[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     low[a] = low[b] = min(low[a], low[b])
     assert got == low and len(set(low.values())) > 200
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    from varlens.llm.neardup import near_duplicates, one_of_each
+
+    t = ["one two three four five six", "red green blue white black grey", "alpha beta gamma delta epsilon zeta", "tin iron zinc lead gold silver"]
+    rows = [(5, t[0]), (5, t[1]), (3, t[1]), (7, ""), (7, t[0]), (8, None), (None, t[2]), (9, t[2]), (None, t[3]), (None, t[3]), (-4, t[2] + " eta"), (-4, ""), (11, " "), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for g in near_duplicates(df, width=4).collect():
+        got.setdefault(g["doc_id"], set()).add((g["component_id"], g["kept"]))
+    assert got == {5: {(3, False)}, 3: {(3, True)}, 7: {(3, False)}, 8: {(8, True)}, 9: {(9, True)}, -4: {(-4, True)}, 11: {(11, True)}, None: {(9, False), (None, True)}}
+    kept = sorted(((r["doc_id"], r["text"]) for r in one_of_each(df, width=4).collect()), key=repr)
+    assert kept == sorted([(3, t[1]), (8, None), (9, t[2]), (None, t[3]), (-4, t[2] + " eta"), (11, kept[[k[0] for k in kept].index(11)][1])], key=repr)

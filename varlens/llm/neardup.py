@@ -20,8 +20,8 @@ from itself on, in a unit of its own, so that every pair is compared once and tw
 
 Defined results: a null or blank text has the empty set, is linked with nothing and is its own
 component; texts with fewer words than ``width`` have one shingle, all their words; rows that share a
-doc_id are one document; rows without doc_id take part, and a component made only of them has a null
-id; an empty table gives an empty result; other columns are ignored.
+doc_id are one document, whatever their texts: their classes are linked through it, and a blank row goes with the other rows of
+its id; rows without doc_id take part, and a component made only of them has a null id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ from varlens.session import Scratch, held, ship
 
 BANDS, ROWS = 32, 5
 BLOCK = 1024
-#: Node ids from here on stand for classes without any doc_id.
-NO_ID_FROM = 1 << 62
 _M = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 _W = np.random.default_rng(11).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -258,7 +256,7 @@ def one_of_each(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 10
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, row: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (and, given a column ``row``, its values and group, the component with a number of its own where it has no id) for ``docs`` (doc_id, text), linking at part / whole or more."""
+    """doc_id, n_shingles, component_id and kept (and, given a column ``row``, its values and group, a name of the component even where it has no id) for ``docs`` (doc_id, text), linking at part / whole or more."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "neardup")
@@ -266,10 +264,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     docs = keyed.select("doc_id", "text")
     rows = scratch.save(keyed.mapInArrow(_sketch(width), "doc_id long, row long, n_shingles long, digest binary, sig binary, bands array<long>"), "rows")
 
-    stand_in = F.lit(NO_ID_FROM) + F.shiftright(F.abs(F.xxhash64("digest")), 2)
-    # Rows of a class have one set, so any of them gives its sketch; hot classes are combined map-side.
+    # Rows of a class have one set, so any of them gives its sketch; hot classes are combined map-side. Classes are numbered as they are written.
     own = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")], F.count("*").alias("copies"))
-    classes = scratch.save(own.select(F.coalesce("low", stand_in).alias("node"), "digest", "n_shingles", "sig", "bands", "copies"), "classes")
+    classes = scratch.save(own.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Ids that several classes share, or a class and blank rows: few.
+    worded_digest = F.when(F.col("n_shingles") > 0, F.col("digest"))
+    ends = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(worded_digest).alias("a"), F.max(worded_digest).alias("b"), F.min("n_shingles").alias("least"))
+    shared = scratch.save(ends.filter("a != b or (a is not null and least = 0)"), "shared-ids")
+    many_texts = shared.filter("a != b").select("doc_id", F.col("a").alias("_first"))
+    tied = rows.filter("n_shingles > 0").select("doc_id", "digest").join(many_texts, "doc_id").filter("digest != _first").distinct()
+    name = classes.select("digest", "node")
+    tied = tied.join(name, "digest").select("_first", F.col("node").alias("u")).join(name.toDF("_first", "v"), "_first").select("u", "v")
 
     banded = classes.select("node", F.explode("bands").alias("h"))
     hubs = banded.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
@@ -284,10 +289,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
         return sized.filter(F.least("_nu", "_nv") * whole >= F.greatest("_nu", "_nv") * part).select("u", "v")
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        wanted = wanted.distinct().join(classes.select("node", "digest"), "node")
-        ids = wanted.select(F.when(F.col("node") < NO_ID_FROM, F.col("node")).alias("_id")).distinct()
+        wanted = wanted.distinct().join(classes.select("node", "digest", F.col("low").alias("_id")), "node")
+        ids = wanted.select("_id").distinct()
         read = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(_sets(width), "digest binary, shingles binary")
-        return scratch.save(wanted.join(read.dropDuplicates(["digest"]), "digest").select("node", "shingles"), f"{name}-sets")
+        return scratch.save(wanted.drop("_id").join(read.dropDuplicates(["digest"]), "digest").select("node", "shingles"), f"{name}-sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.save(close(pairs), f"{name}-pairs")
@@ -297,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
         scratch.drop(f"{name}-sets")
         return links
 
-    links = confirmed(first, "first")
+    links = confirmed(first, "first").unionByName(tied)
     star = components(links, scratch, "first-cc")
     at = members.join(star.toDF("node", "_c"), "node", "left").join(star.toDF("hub", "_h"), "hub", "left")
     at = at.select("h", "members", "node", F.coalesce("_c", "node").alias("comp"), F.coalesce("_h", "hub").alias("hub_comp"))
@@ -323,16 +328,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     more = scratch.save(blocks(with_sets).mapInArrow(_span(part, whole), "u long, v long").distinct(), "more-links")
     star = components(star.unionByName(more), scratch, "all-cc")
 
-    ids = classes.select("digest", "node", "copies").join(star.toDF("node", "_c"), "node", "left").select("digest", "copies", F.coalesce("_c", "node").alias("_c"))
-    ids = ids.withColumn("_group", F.col("_c")).withColumn("_c", F.when(F.col("_c") < NO_ID_FROM, F.col("_c"))).withColumn("_in", F.lit(True))
-    ids = scratch.save(ids, "ids")
+    ids = classes.select("digest", "node", "copies", "low").join(star.toDF("node", "_g"), "node", "left").select("digest", "copies", "low", F.coalesce("_g", "node").alias("_g"))
+    # A component's id is the least doc_id in it; the copies of a class are counted once here.
+    named = ids.groupBy("_g").agg(F.min("low").alias("_c"))
+    ids = scratch.save(ids.drop("low").join(named, "_g").select("digest", "copies", "_c", F.concat(F.lit("class "), "_g").alias("_group"), F.lit(True).alias("_in")), "ids")
     # Classes of over a thousandth of the rows, fewer than a thousand, are broadcast to their rows, the others shuffled.
     hot = F.col("copies") * 1000 > rows.count()
     many, few = ids.filter(hot).drop("copies"), ids.filter(~hot).drop("copies")
     plain = rows.select("doc_id", "row", "n_shingles", "digest")
     worded = plain.filter("n_shingles > 0")
     out = worded.join(F.broadcast(many), "digest").unionByName(worded.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(few, "digest"))
-    out = out.unionByName(plain.filter("n_shingles = 0").select(*plain.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in ("_c", "_group", "_in")]))
+    # Blank rows stand alone, but for those whose id has other rows.
+    blank = plain.filter("n_shingles = 0").drop("digest").join(shared.select("doc_id", F.col("a").alias("digest")), "doc_id", "left")
+    alone = blank.filter("digest is null").select(*plain.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in ("_c", "_group", "_in")])
+    out = out.unionByName(alone).unionByName(blank.filter("digest is not null").join(ids.drop("copies"), "digest").select(*out.columns))
     component = F.when(F.col("_in"), F.col("_c")).otherwise(F.col("doc_id"))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")]
-    return out.select(*columns, *(["row", F.coalesce("_group", "doc_id").alias("group")] if row else []))
+    return out.select(*columns, *(["row", F.coalesce("_group", F.concat(F.lit("id "), "doc_id")).alias("group")] if row else []))
