@@ -120,9 +120,10 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     from varlens.session import shared_dir
 
-    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
-    with pytest.raises(ValueError, match="checkpoint"):
-        shared_dir(session)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session)
 
 
 def test_dependence_test_tells_dependent_inputs(spark):

@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all nodes share: ``spark.checkpoint.dir``; where that is unset, a local one on a local master, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.realpath(os.path.join(tempfile.gettempdir(), "varlens-checkpoints"))
         os.makedirs(root[len("file://"):], exist_ok=True)
