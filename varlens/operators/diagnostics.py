@@ -56,30 +56,49 @@ def replicate_noise(df: DataFrame, features: list[str], target: str, digits: int
 def neighbour_noise(df: DataFrame, features: list[str], target: str, key: str, cells: int = 16) -> DataFrame:
     """Half the mean squared difference to the nearest row, features standardised; of equally near rows that with the least key.
 
-    Rows are put in cells of the first two features and compared with those of the nine cells around them. A row further
-    than a cell's width from all of these may have a nearer one outside: such rows try again with cells twice as wide,
-    until none is left. Rows with a null take no part. ``cells`` should grow as the root of the rows. Each round is written to the shared folder.
+    Rows of equal features become one point that knows its two least keys, by map-side combined sums, so repeated values, however
+    many, never meet in pairs; rows with another key at their own point are done. The others look at the points in the cells
+    around theirs, in a grid over the two features of most values. A row further than a cell's width from all of these may
+    have a nearer one outside: such rows try again with cells twice as wide, until none is left. It is the searching rows that are
+    copied to the nine cells, few of them after the first round, and never the points. Rows with a null take no part. ``cells`` should
+    grow as the root of the rows. Each round is written to the shared folder.
     """
-    stats = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))]).head()
+    asked = [f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max), ("u", F.approx_count_distinct))]
+    stats = df.agg(*asked).head()
     z = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(features)]
+    at_point = [f"z{i}" for i in range(len(features))]
     scratch = Scratch(df.sparkSession, "neighbours")
     rows = scratch.save(df.select(F.col(key).alias("k"), F.col(target).cast("double").alias("y"), *z).dropna(), "rows")
+    points = rows.groupBy(*at_point).agg(F.min(F.struct("k", "y")).alias("p"))
+    met = rows.join(points, at_point)
+    second = met.filter(F.col("k") != F.col("p.k")).groupBy(*at_point).agg(F.min(F.struct("k", "y")).alias("q"))
+    points = scratch.save(points.join(second, at_point, "left"), "points")
+    own = F.when(F.col("k") != F.col("p.k"), F.col("p")).otherwise(F.col("q"))
+    met = rows.join(points, at_point).withColumn("o", own)
+    hit = F.struct(F.lit(0.0).alias("d2"), F.col("o.k").alias("k2"), (F.col("y") - F.col("o.y")).alias("dy")).alias("s")
+    done = scratch.save(met.filter("o IS NOT NULL").select("k", hit), "same")
+    left = scratch.save(met.filter("o IS NULL").select("k", "y", *at_point), "left")
     span = max([0.0, *((stats[f"b{i}"] - stats[f"a{i}"]) / (stats[f"s{i}"] or 1.0) for i in range(len(features)) if stats[f"a{i}"] is not None)])
-    first = min(2, len(features))
+    axes = sorted(range(len(features)), key=lambda i: (-stats[f"u{i}"], i))[:2]
     d2 = sum((F.pow(F.col(f"a.z{i}") - F.col(f"b.z{i}"), 2) for i in range(len(features))), F.lit(0.0))
-    width, left, done, step = 4.0 / cells, rows, None, 0
-    while True:
-        last = width >= span  # the nine cells then hold all rows
-        at = [F.floor(F.col(f"z{i}") / width).cast("long").alias(f"g{i}") for i in range(first)]
-        near = rows.select("*", *at)
-        for i in range(first):
-            near = near.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + d for d in (-1, 0, 1)])))
-        pairs = left.select("*", *at).alias("a").join(near.alias("b"), [F.col(f"a.g{i}") == F.col(f"b.g{i}") for i in range(first)]).filter("a.k != b.k")
-        found = pairs.select(F.col("a.k").alias("k"), F.struct(d2.alias("d2"), F.col("b.k").alias("k2"), (F.col("a.y") - F.col("b.y")).alias("dy")).alias("s")).groupBy("k").agg(F.min("s").alias("s"))
+    apart = F.lit(False)
+    for c in at_point:
+        apart = apart | (F.col(f"a.{c}") != F.col(f"b.{c}"))
+    width, step = 4.0 / cells, 0
+    while not left.isEmpty():
+        last = width >= span  # the nine cells then hold all points
+        at = [F.floor(F.col(f"z{i}") / width).cast("long").alias(f"g{i}") for i in axes]
+        around = left.select("*", *at)
+        for i in axes:
+            around = around.withColumn(f"g{i}", F.explode(F.array(*[F.col(f"g{i}") + d for d in (-1, 0, 1)])))
+        pairs = around.alias("a").join(points.select("*", *at).alias("b"), [F.col(f"a.g{i}") == F.col(f"b.g{i}") for i in axes]).filter(apart)
+        other = F.when(F.col("a.k") != F.col("b.p.k"), F.col("b.p")).otherwise(F.col("b.q"))
+        pairs = pairs.select(F.col("a.k").alias("k"), F.col("a.y").alias("y"), d2.alias("d2"), other.alias("o")).filter("o IS NOT NULL")
+        found = pairs.groupBy("k", "y").agg(F.min(F.struct("d2", F.col("o.k").alias("k2"), (F.col("y") - F.col("o.y")).alias("dy"))).alias("s")).drop("y")
         found = scratch.save(found.filter(F.lit(last) | (F.col("s.d2") <= width * width)), f"found-{step}")
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         left = scratch.save(left.join(found, "k", "left_anti"), f"left-{step}")
-        if last or left.isEmpty():
+        if last:
             break
         width, step = width * 2, step + 1
     return done.agg((F.avg(F.col("s.dy") ** 2) / 2).alias("sigma2"), F.count("*").alias("rows"))

@@ -18,10 +18,10 @@ from varlens.operators.ridge import Solution, best_lambdas, order_shapes, solve
 from varlens.operators.rows import leverage_rows, linear, loo_summary, predict, sandwich
 from varlens.operators.selection import active_variables, by_bic, by_glasso, by_one_se
 from varlens.operators.sensitivity import block_variances, components_table, share_intervals, shares, total_order
-from varlens.operators.stats import Stats, stats_pass, total
+from varlens.operators.stats import LARGEST, Stats, stats_pass, total
 from varlens.operators.structure import exact_loo
 from varlens.operators.variance import BOUND, Heteroscedastic, heteroscedastic, newton, one_step_loo
-from varlens.plans.layout import Layout, pairs_of, triples_of
+from varlens.plans.layout import Layout, Spec, Term, pairs_of, richest_pairs, triples_of
 
 STRATEGIES = ("uniform", "variance", "smoothness", "curvature", "sobolev", "spectral")
 
@@ -86,8 +86,8 @@ class Config:
             raise ValueError("variance_pairs must be all, auto or a list of pairs of feature names")
         if self.variance_features is not None and not self.variance_features:
             raise ValueError("variance_features must name some features")
-        if isinstance(self.pairs, str) and self.pairs not in ("all", "both", "either"):
-            raise ValueError("pairs must be all, both, either or a list of pairs")
+        if isinstance(self.pairs, str) and self.pairs not in ("all", "both", "either", "auto"):
+            raise ValueError("pairs must be all, both, either, auto or a list of pairs")
         if self.stages is not None and (not self.stages or self.stages[0] != "A" or list(self.stages) != sorted(set(self.stages)) or set(self.stages) - set("ABCD")):
             raise ValueError("stages must be A, then any of B, C and D in order")
 
@@ -319,7 +319,12 @@ def fit(df: DataFrame, target: str, features: list[str] | None = None, uniform:
             v = block_variances(layout, found.w)
             on = active_variables({t.vars[0]: v[k] / max(v.sum(), 1e-300) for k, t in enumerate(layout.terms)}, c.threshold)
         on = on if len(on) >= min(2, d) else list(range(d))
-        pairs = pairs_of(d, on, c.pairs) if isinstance(c.pairs, str) else list(c.pairs)
+        if c.pairs == "auto":
+            richest = richest_pairs(s.n, d, on, layout.size, Term((0, 1), (Spec(c.k2, c.basis, c.linear),) * 2).size if c.k2 else 0, LARGEST)
+            pairs = richest["pairs"]
+            log.append({"stage": "pairs", "mode": richest["mode"], "pairs": len(pairs), "columns": richest["columns"]})
+        else:
+            pairs = pairs_of(d, on, c.pairs) if isinstance(c.pairs, str) else list(c.pairs)
         triples = triples_of(d, on, "all_active") if c.k3 else None
         layout = Layout.build(features, c.k1, c.k2, c.k3, pairs, triples, c.basis, c.linear, c.per_variable)
         folds, s, r, found = run(layout)

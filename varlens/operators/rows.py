@@ -104,6 +104,42 @@ def loo_summary(rows: DataFrame, sigma2: float) -> dict:
     return {"loo_cv": cv, "loo_nll": 0.5 * math.log(max(sigma2, 1e-300)) + cv / (2 * max(sigma2, 1e-300)) + 0.5 * math.log(2 * math.pi)}
 
 
+def noise_curve(df: DataFrame, layout: Layout, target: str, shape: np.ndarray, lams=None) -> dict:
+    """The noise and the criteria along penalties lambda * ``shape``, with deleted residuals, and each one's best lambda.
+
+    One pass of statistics, then one of rows for all lambdas: their weights side by side, and the leverages by powers of one
+    eigenbasis, h = sum of u^2 / (mu + lambda). ``curve``: a dict per lambda; ``best``: the lambda of the least sigma2, loo_cv,
+    gcv, aic and bic (of equal ones the smallest).
+    """
+    from varlens.operators.ridge import path, solve
+    from varlens.operators.stats import stats_pass
+
+    raw = stats_pass(df, layout, target)[None]
+    s, mean = raw.centred(), raw.mean
+    lams = np.logspace(-6, 2, 50) if lams is None else np.asarray(lams, float)
+    curve = path(s, shape, lams)
+    weights = np.column_stack([p["w"] for p in curve])
+    steady = len(shape) and shape.min() > 0 and shape.max() / shape.min() < 1e8
+    if steady:
+        root = np.sqrt(shape)
+        mu, q = np.linalg.eigh(s.c / root[:, None] / root)
+        turn, shrink = q / root[:, None], 1 / (np.maximum(mu, 0)[:, None] + lams)
+    else:
+        inverses = [solve(s, x * shape).inverse for x in lams]
+    rows = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(layout.features)])
+
+    def run(batch):
+        phi = layout.batch(np.stack([batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(len(layout.features))], axis=1))
+        y = batch.column("_y").to_numpy(zero_copy_only=False) - mean
+        h = (phi @ turn) ** 2 @ shrink if steady else np.column_stack([((phi @ i) * phi).sum(axis=1) for i in inverses])
+        return (((y[:, None] - phi @ weights) / (1 - np.clip(h, 0, 1 - 1e-10))) ** 2).sum(axis=0)
+
+    cv = row_sums(rows, run, len(lams)) / max(s.n, 1.0)
+    curve = [{k: v for k, v in p.items() if k != "w"} | {"loo_cv": float(x)} for p, x in zip(curve, cv, strict=True)]
+    best = {c: min(curve, key=lambda p: (p[c], p["lambda"]))["lambda"] for c in ("sigma2", "loo_cv", "gcv", "aic", "bic")}
+    return {"curve": curve, "best": best}
+
+
 def kfold(folds: dict, r: np.ndarray) -> list[dict]:
     """A row per fold: its size, held-out mean square and the noise of the others' fit; folds are subtracted from the whole."""
     from varlens.operators.ridge import solve

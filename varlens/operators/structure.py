@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varlens.functions.numeric import minimise_scalar
 from varlens.operators.ridge import solve
-from varlens.operators.rows import _map_rows
+from varlens.operators.rows import _map_rows, linear
 from varlens.operators.sensitivity import block_variances
 from varlens.operators.stats import Stats, row_sums, stats_pass
 from varlens.plans.layout import Layout
@@ -131,6 +131,16 @@ def explain_row(layout: Layout, w: np.ndarray, f0: float, x: dict[str, float]) -
     return [{"vars": (), "part": f0}, *sorted(parts, key=lambda p: -abs(p["part"]))]
 
 
+def explain_rows(df: DataFrame, layout: Layout, w: np.ndarray, f0: float, key: str) -> DataFrame:
+    """key, term, vars, part, rank: each row's prediction by term (term -1: the mean), largest part first, as one expression."""
+    cols = layout.columns()
+    own = [linear(cols[layout.block(k)], w[layout.block(k)]) for k in range(len(layout.terms))]
+    cell = lambda term, vars_, part: F.struct((-F.abs(part)).alias("_size"), F.lit(term).alias("term"), F.array(*[F.lit(v + 1) for v in vars_]).cast("array<int>").alias("vars"), part.alias("part"))
+    parts = F.array_sort(F.array(*[cell(k, t.vars, p) for k, (t, p) in enumerate(zip(layout.terms, own, strict=True))]))
+    whole = F.concat(F.array(cell(-1, (), F.lit(float(f0)))), parts)
+    return df.select(F.col(key), F.posexplode(whole).alias("rank", "s")).select(key, "s.term", "s.vars", "s.part", "rank")
+
+
 def two_fit_gap(layout: Layout, weighted: np.ndarray, plain: np.ndarray) -> list[dict]:
     """Shares under the weighted fit less those under the unweighted one, by term."""
     a, b = block_variances(layout, weighted), block_variances(layout, plain)

@@ -146,6 +146,15 @@ def pairs_of(d: int, active=None, mode: str = "all") -> list[tuple[int, int]]:
     return [p for p in combinations(range(d), 2) if test(*p)]
 
 
+def richest_pairs(n: float, d: int, active, first: int, block: int, most: int) -> dict:
+    """The widest choice of pairs, of all, either and both active, whose design stays below five columns a row and within
+    ``most`` columns; both where none does. ``first``: columns of the main effects, ``block``: of a pair."""
+    options = [(mode, pairs_of(d, active, mode)) for mode in ("all", "either", "both")]
+    sized = [(mode, pairs, first + block * len(pairs)) for mode, pairs in options]
+    mode, pairs, columns = next((o for o in sized if o[2] < 5 * n and o[2] <= most), sized[-1])
+    return {"mode": mode, "pairs": pairs, "columns": columns}
+
+
 def triples_of(d: int, active=None, mode: str = "all") -> list[tuple[int, int, int]]:
     """Candidate triples by how many members are active: all, all_active, two_active, one_active."""
     a = set(range(d) if active is None else active)

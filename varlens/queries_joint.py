@@ -9,9 +9,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from varlens.operators import diagnostics, discovery, joint, residual
+from varlens.operators import diagnostics, discovery, joint, residual, ridge, rows, structure
+from varlens.operators.stats import stats_pass
 from varlens.plans.layout import Layout
 from varlens.queries import P, PI2, R, fourier_sql, haar_sql, make, planted, query, rd, table, tidy
+from varlens.queries_models import S1
 
 _CELLS = Layout.build(["x1"], 1, basis="haar")
 _TINY = np.array([1e-7])
@@ -118,3 +120,49 @@ def kernel_variance(spark, sf_dir):
     """What a kernel model with two inducing points leaves open at each row."""
     d = residual.posterior_variance(planted(spark, sf_dir), ["x1"], [[0.2], [0.7]], 0.3, 0.1)
     return d.select("k", rd(F.col("posterior_variance")).alias("variance"))
+
+
+@query(f"""WITH {S1}, l AS (SELECT CAST(unnest(range(-2, 5)) AS INTEGER) AS e), t AS (SELECT e, n, c + pow(10::DOUBLE, e) AS a, b / (c + pow(10::DOUBLE, e)) AS w, c / (c + pow(10::DOUBLE, e)) AS df, c, b, yy FROM s, l),
+r AS (SELECT *, yy - 2 * w * b + w * w * c AS rss FROM t), v AS (SELECT e, any_value(df) AS df, any_value(rss / (n - 2 * df + df * df)) AS sigma2, avg(pow((q.y - w * q.f) / (1 - q.f * q.f / a), 2)) AS loo, any_value(rss / n / pow(1 - (df + 1) / n, 2)) AS gcv FROM q, r GROUP BY e)
+SELECT e, {R('df')} AS df, {R('sigma2')} AS sigma2, {R('loo')} AS loo_cv, {R('gcv')} AS gcv, loo = min(loo) OVER () AS best_loo, sigma2 = min(sigma2) OVER () AS best_sigma2 FROM v""")
+def noise_curve(spark, sf_dir):
+    """Noise and criteria along a path of penalties, deleted residuals of all of them from one pass."""
+    got = rows.noise_curve(planted(spark, sf_dir), Layout.build(["x1"], 1, basis="legendre"), "y", np.ones(1), [10.0**e for e in range(-2, 5)])
+    out = [(e, *(round(p[c], 6) for c in ("df", "sigma2", "loo_cv", "gcv")), p["lambda"] == got["best"]["loo_cv"], p["lambda"] == got["best"]["sigma2"]) for e, p in zip(range(-2, 5), got["curve"], strict=True)]
+    return make(spark, out, "e int, df double, sigma2 double, loo_cv double, gcv double, best_loo boolean, best_sigma2 boolean")
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS a, CAST(p_size % 5 AS DOUBLE) AS b, p_retailprice / 100 AS y FROM part), m AS (SELECT stddev_pop(a) AS a, stddev_pop(b) AS b FROM s),
+n AS (SELECT p.k, any_value(p.y) AS y, min({{'d': pow((p.a - q.a) / m.a, 2) + pow((p.b - q.b) / m.b, 2), 'k': q.k, 'y': q.y}}) AS o FROM s p JOIN s q ON p.k <> q.k, m GROUP BY p.k)
+SELECT {R('avg(pow(y - o.y, 2)) / 2')} AS sigma2, count(*) AS rows FROM n""")
+def neighbour_variance_repeated(spark, sf_dir):
+    """Noise by nearest rows where features repeat, so that most rows have many neighbours at no distance."""
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_size") % 5).cast("double").alias("b"), (F.col("p_retailprice") / 100).alias("y"))
+    return tidy(diagnostics.neighbour_noise(d, ["a", "b"], "y", "k"))
+
+
+def _weighted_sql(weight: str) -> str:
+    f, g = "(2 * x1 - 1)", "(2 * x2 - 1)"
+    m = f"(SELECT sum(y * {weight}) / sum({weight}) FROM p)"
+    sums = ", ".join(f"sum({weight} * {x}) AS {n}" for n, x in (("a", f"{f} * {f}"), ("c", f"{f} * {g}"), ("d", f"{g} * {g}"), ("u", f"{f} * (y - {m})"), ("v", f"{g} * (y - {m})")))
+    return f"SELECT pow(((d + 2) * u - c * v) / ((a + 2) * (d + 2) - c * c), 2) AS s1, pow(((a + 2) * v - c * u) / ((a + 2) * (d + 2) - c * c), 2) AS s2 FROM (SELECT {sums} FROM p)"
+
+
+@query(f"""WITH {P}, e AS ({_weighted_sql('1.0 / (0.5 + x3)')}), i AS ({_weighted_sql('1.0')})
+SELECT 1 AS variable, {R('e.s1 / (e.s1 + e.s2) - i.s1 / (i.s1 + i.s2)')} AS gap FROM e, i UNION ALL SELECT 2, {R('e.s2 / (e.s1 + e.s2) - i.s2 / (i.s1 + i.s2)')} FROM e, i""")
+def weighted_share_gap(spark, sf_dir):
+    """Shares under weights by the noise, less those of the plain fit, aligned by term."""
+    lay = Layout.build(["x1", "x2"], 1, basis="legendre")
+    d = planted(spark, sf_dir).withColumn("w", 1 / (0.5 + F.col("x3")))
+    weighted, plain = (ridge.solve(stats_pass(d, lay, "y", weight)[None].centred(), np.full(2, 2.0)).w for weight in ("w", None))
+    return make(spark, [(g["vars"][0] + 1, round(g["gap"], 6) + 0.0) for g in structure.two_fit_gap(lay, weighted, plain)], "variable int, gap double")
+
+
+@query(f"""WITH {P}, m AS (SELECT avg(y) AS m FROM p), t AS (SELECT k, -1 AS term, m AS part FROM p, m UNION ALL SELECT k, 0, 2 * (2 * x1 - 1) FROM p UNION ALL SELECT k, 1, 1.5 * (2 * x2 - 1) FROM p UNION ALL SELECT k, 2, (2 * x1 - 1) * (2 * x3 - 1) FROM p)
+SELECT k, CAST(term AS INTEGER) AS term, {R('part')} AS part, CAST(CASE WHEN term < 0 THEN 0 ELSE row_number() OVER (PARTITION BY k, term < 0 ORDER BY abs(part) DESC, term) END AS INTEGER) AS rank FROM t""")
+def explained_rows(spark, sf_dir):
+    """Every row's prediction by term, largest part first."""
+    lay = Layout.build(["x1", "x2", "x3"], 1, 1, pairs=[(0, 2)], basis="legendre", first=[0, 1])
+    d = planted(spark, sf_dir)
+    got = structure.explain_rows(d, lay, np.array([2.0, 1.5, 1.0]), d.agg(F.avg("y")).head()[0], "k")
+    return got.select("k", "term", rd(F.col("part")).alias("part"), "rank")
