@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varlens.llm.common import word_count
+from varlens.llm.common import partitions, word_count
 from varlens.session import Scratch
 
 CHUNK = 1 << 16
@@ -135,13 +135,17 @@ def mix(docs: DataFrame, block: int = 1024, cycle: tuple[int, ...] = (1, 2, 3),
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its words are taken, to the nearest whole copy.
+    """``docs`` as the mix takes them, in the order of its schedule.
 
-    Rows that share a doc_id share their mean number of copies. Documents without words are not taken.
+    A row comes once for each epoch that takes at least half of its words, at the place of the first slot of that epoch that
+    takes some of them; a source's stream ends within one document, so its words are its target's to within that document's. Partitions are
+    runs of slots, in order, and so are the rows in them: any stretch of the result holds the sources nearly in proportion. Rows that
+    share a doc_id go together: an epoch takes them all if it takes half of their words. Documents without words are not taken.
     """
-    taken, _ = mix(docs, **options)
-    spark = docs.sparkSession
-    per_id = taken.groupBy("doc_id").agg(F.sum("taken").alias("_mx_taken"), F.sum("size").alias("_mx_size"))
-    per_id = per_id.filter("_mx_size > 0").select(F.col("doc_id").alias("_mx_id"), F.round(F.col("_mx_taken") / F.col("_mx_size")).cast("int").alias("_mx_copies")).filter("_mx_copies > 0")
-    joined = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["_mx_id"]))
-    return joined.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_copies")))).select(*[docs[c] for c in docs.columns])
+    taken, schedule = mix(docs, **options)
+    sizes = taken.groupBy("doc_id").agg(F.sum("size").alias("_mx_size")).filter("_mx_size > 0").withColumnRenamed("doc_id", "_mx_id")
+    copies = schedule.groupBy("doc_id", "epoch").agg(F.sum("words").alias("_mx_words"), F.min("slot").alias("_mx_slot"))
+    copies = copies.join(sizes, F.col("doc_id").eqNullSafe(F.col("_mx_id"))).filter("2 * _mx_words >= _mx_size").select("_mx_id", "_mx_slot")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mx_id"])).select(*[docs[c] for c in docs.columns], "_mx_slot", "_mx_id")
+    order = ["_mx_slot", "_mx_id"]  # documents that begin in one slot follow by id
+    return joined.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop(*order)

@@ -3,8 +3,8 @@
 Each page is one gzip member in a WARC file. Pages with equal payloads share one response, that of the
 largest page_id; the others are revisit records that name it. Captures are sorted by reversed-host
 URL keys into compressed blocks of ``LINES`` index lines; the directory keeps each block's first key and
-byte range. A lookup searches the directory, then a block, by halving, and reads two byte ranges.
-The whole-table query reads every block instead; only single lookups search.
+byte range. A lookup searches the directory, then a block, by halving, and reads two byte ranges; ``lookup_urls``
+does so for a table of URLs. The whole-table query reads every block instead.
 
 Scale: equal payloads are found by a map-side combined aggregation of digests; the pages join only
 the digests that occur more than once. Index lines are range-partitioned, so a host with most pages
@@ -213,6 +213,71 @@ def lookup(directory: list, url: str, files: Files | None = None) -> list[dict]:
     return [parse_record(files.read(f, a, n)) for _, f, a, n in found]
 
 
+#: Keys that one task of a batched lookup searches; more that fall into one index file are dealt over several.
+KEYS = 20_000
+
+
+def _may_hold(first: list[str], key: str) -> range:
+    """Places in sorted first keys of what may hold a key."""
+    return range(max(0, bisect.bisect_left(first, key) - 1), bisect.bisect_right(first, key))
+
+
+def lookup_urls(urls: DataFrame, directory: DataFrame, most: int = KEYS) -> DataFrame:
+    """Every capture of each distinct URL of ``urls`` (column url): url and the columns of PAGES; a URL without captures gives no row.
+
+    Each key is sent to the index files whose range may hold it, found by halving in the files' first keys, one for each
+    partition of the index, which is all that the driver gets. There it meets the file's directory, is found by halving in that and then in its
+    blocks, each read once by a task, and the captures' byte ranges are read in order of place. Keys that meet in one file are dealt by
+    hash over as many tasks as their number asks for, each with a copy of that file's directory; a key that fills many files goes to all of them.
+    """
+    spark = directory.sparkSession
+    ship(spark)
+    tops = directory.groupBy("file").agg(F.min("first_key").alias("k"), F.min(F.struct("first_key", F.coalesce("first_id", F.lit(-(1 << 63))))).alias("o")).orderBy("o").collect()  # a row per partition
+    first, names = [t["k"] for t in tops], [t["file"] for t in tops]
+
+    def send(batches):
+        for batch in batches:
+            rows = []
+            for url in batch.column("url").to_pylist():
+                key = re.sub(r"[\t\n\r]", " ", url_key(url))
+                rows += [(url, key, names[i]) for i in _may_hold(first, key)]
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["url", "key", "file"])
+
+    scratch = Scratch(spark, "lookup")
+    asked = scratch.save(urls.select("url").distinct().mapInArrow(send, "url string, key string, file string"), "asked")
+    shares = asked.groupBy("file").agg(F.ceil(F.count("*") / most).alias("_n"))  # a row per partition of the index
+    asked = asked.join(F.broadcast(shares), "file").withColumn("part", F.pmod(F.xxhash64("key"), F.col("_n"))).select("url", "key", "file", "part")
+    held = directory.join(F.broadcast(shares), "file").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+
+    def search(wanted, blocks):
+        files = Files()
+        rows, own = [], sorted(zip(*(blocks.column(c).to_pylist() for c in ("first_key", "offset", "length", "file")), strict=True))
+        starts = [b[0] for b in own]
+        at, lines, keys = -1, [], []
+        for key, url in sorted(zip(wanted.column("key").to_pylist(), wanted.column("url").to_pylist(), strict=True), key=lambda x: (x[0], x[1] or "")):
+            for i in _may_hold(starts, key):
+                if i != at:
+                    at, lines = i, block_lines(files, own[i][3], *own[i][1:3])
+                    keys = [k for k, _ in lines]
+                rows += [(url, *v[1:]) for _, v in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["url", "file", "offset", "length"])
+
+    found = asked.groupBy("file", "part").cogroup(held.groupBy("file", "part")).applyInArrow(search, "url string, file string, offset long, length long")
+
+    def read(batches):
+        files = Files()
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        fields = [c.split()[0] for c in PAGES.split(", ")]
+        for batch in batches:
+            got = [(url, parse_record(files.read(*place))) for url, *place in zip(*(batch.column(c).to_pylist() for c in ("url", "file", "offset", "length")), strict=True)]
+            rows = [(url, *(g[c] for c in fields)) for url, g in got]
+            yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["url", *fields])
+
+    found = scratch.save(found, "found").repartitionByRange(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset")
+    return found.mapInArrow(read, "url string, " + PAGES)
+
+
 def read_archives(directory: DataFrame) -> DataFrame:
     """Every page, through the directory, the index blocks and the archives' byte ranges."""
 
